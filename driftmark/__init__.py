@@ -1 +1,8 @@
 """Versioned-entity diffs, change events and change feeds as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task code travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -11,11 +11,12 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from driftmark import presets
 from driftmark.functions import text as X
 
-TOKENS = "array<struct<op:string,text:string>>"
+TOKENS = ArrayType(StructType().add("op", StringType()).add("text", StringType()))
 OPS = {"  ": "equal", "- ": "delete", "+ ": "insert"}
 
 
@@ -32,7 +33,7 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([tokens(b, a) for b, a in zip(before, after)])
 
 
-RUNS = "array<struct<op:string,removed:string,added:string>>"
+RUNS = ArrayType(StructType().add("op", StringType()).add("removed", StringType()).add("added", StringType()))
 
 
 @F.pandas_udf(RUNS)
@@ -53,7 +54,7 @@ def word_runs(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([runs(b, a) for b, a in zip(before, after)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def unified_lines(before: pd.Series, after: pd.Series) -> pd.Series:
     """Unified diff of the lines of two texts."""
 

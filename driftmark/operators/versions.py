@@ -37,7 +37,7 @@ def nearest_version(
     equi-join in which an event meets only the few stretches of its own bucket.  Events outside
     the marks' span are moved to its edge for the lookup, which leaves the nearest mark the same.
     """
-    points = marks.groupBy(F.unix_micros(mark_ts).alias("__hi")).agg(F.min(mark_id).alias("__id"))
+    points = marks.groupBy(F.unix_micros(F.col(mark_ts).cast("timestamp")).alias("__hi")).agg(F.min(mark_id).alias("__id"))
     stretches = OrderedKeys(points.withColumn("__all", F.lit(0)), ["__all"], ["__hi"], **skew).lag(["__hi", "__id"], "__prev")
     width = F.lit(_bucket_micros(bucket))
     start = F.coalesce(F.col("__prev.__hi") + 1, F.col("__hi"))
@@ -47,7 +47,7 @@ def nearest_version(
     )
     span = points.agg(F.min("__hi").alias("lo"), F.max("__hi").alias("hi"))
     low, high = span.select("lo").scalar(), span.select("hi").scalar()
-    at = F.when(F.col(ts).isNotNull(), F.least(F.greatest(F.unix_micros(ts), low), high))
+    at = F.when(F.col(ts).isNotNull(), F.least(F.greatest(F.unix_micros(F.col(ts).cast("timestamp")), low), high))
     placed = events.withColumn("__at", at).withColumn("__slot", F.floor(F.col("__at") / width))
     met = placed.join(slots, "__slot", "left").filter(
         F.col("__lo").isNull() | F.col("__at").between(F.col("__lo"), F.col("__hi"))
@@ -64,4 +64,4 @@ def _bucket_micros(text: str) -> int:
 
 
 def distance_seconds(left: Column, right: Column) -> Column:
-    return F.abs(F.unix_micros(left) - F.unix_micros(right)) / 1e6
+    return F.abs(F.unix_micros(left.cast("timestamp")) - F.unix_micros(right.cast("timestamp"))) / 1e6
