@@ -21,6 +21,11 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def has_text(text: Column) -> Column:
+    """Something other than white space in it; stops at the first such character."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+
+
 def normalize_text(text: Column) -> Column:
     """`clean_text` in lower case, the form texts are compared in."""
     return clean_text(F.lower(text))

@@ -98,15 +98,22 @@ def inferred_context(field: Column, profile: Profile = DEFAULT) -> Column:
     raw = F.regexp_replace(raw, "^questionnaire\\.", "")
     tail = F.when(F.contains(raw, F.lit(".")), F.regexp_replace(raw, r"^[^.]*\.", "")).otherwise(raw)
     label = X.question_label(F.replace(tail, F.lit("_"), F.lit(" ")))
-    section = X.route_section(label, profile.section_routes, profile.section_default)
-    named = {
-        **{c: section for c in ("main_section", "tab_label", "accordion_title", "source_area_label", "section_title")},
-        **{c: label for c in ("subsection_title", "question_label", "section_field_label")},
-        "display_path": context_label(section, label),
-        "stable_key": _text(None),
-        "localization_confidence": F.when(label != "", F.lit("medium")).otherwise(F.lit("low")),
-    }
-    built = F.struct(*[X.truthy(named[c]).alias(c) for c in CONTEXT])
+
+    def named(both: Column) -> Column:
+        name, section = both["label"], both["section"]
+        members = {
+            **{c: section for c in ("main_section", "tab_label", "accordion_title", "source_area_label", "section_title")},
+            **{c: name for c in ("subsection_title", "question_label", "section_field_label")},
+            "display_path": context_label(section, name),
+            "stable_key": _text(None),
+            "localization_confidence": F.when(name != "", F.lit("medium")).otherwise(F.lit("low")),
+        }
+        return F.struct(*[X.truthy(members[c]).alias(c) for c in CONTEXT])
+
+    def routed(name: Column) -> Column:
+        return F.struct(name.alias("label"), X.route_section(name, profile.section_routes, profile.section_default).alias("section"))
+
+    built = V.let(V.let(label, routed), named)
     return F.when(F.startswith(field, F.lit(presets.DESCRIPTION_PREFIX)), built)
 
 
@@ -273,9 +280,15 @@ def enrich_events(changes: DataFrame, previous_ts: str, current_ts: str, detecte
     field, kind = F.col("field"), F.col("change_type")
     old, new = V.as_text(F.col("before")), V.as_text(F.col("after"))
     textual = kind == presets.TEXT
-    diffed = changes.withColumn("word_diff", W.word_diff(F.when(textual, old), F.when(textual, new)))
-    stored = document_context(F.col("doc"), field)
-    context = merge_contexts(inferred_context(field, profile), evidence_context(field, old, new, profile), stored)
+    diffed = changes.select(
+        "*",
+        W.word_diff(F.when(textual, old), F.when(textual, new)).alias("word_diff"),
+        inferred_context(field, profile).alias("__inferred"),
+        evidence_context(field, old, new, profile).alias("__evidence"),
+        document_context(F.col("doc"), field).alias("__stored"),
+    )
+    inferred, evidence, stored = F.col("__inferred"), F.col("__evidence"), F.col("__stored")
+    located = inferred.isNotNull() | evidence["display_path"].isNotNull() | stored.isNotNull()
     named = diffed.select(
         F.lit(detected_at).alias("detected_at"),
         I.identity_of(F.col("doc"), F.lit("unknown"), profile).alias("entity_id"),
@@ -290,16 +303,13 @@ def enrich_events(changes: DataFrame, previous_ts: str, current_ts: str, detecte
         F.lit(current_ts).alias("current_snapshot_ts"),
         "word_diff",
         F.when(textual, W.text_change_kind(F.coalesce("word_diff", F.array().cast(W.TOKENS)))).alias("text_change_kind"),
-        context.alias("c"),
-        F.when(
-            inferred_context(field, profile).isNotNull() | evidence_context(field, old, new, profile)["display_path"].isNotNull() | stored.isNotNull(),
-            F.lit(True),
-        ).otherwise(F.lit(False)).alias("__located"),
+        merge_contexts(inferred, evidence, stored).alias("c"),
+        located.alias("__located"),
     )
     section = F.coalesce("c.main_section", "c.section_title", "c.source_area_label")
     subsection = F.coalesce("c.question_label", "c.subsection_title", "c.section_field_label")
-    located = F.coalesce(X.display_path(F.col("c.display_path")), context_label(section, subsection))
-    label = F.when(F.col("__located"), located).otherwise(X.label_for(field, profile.field_labels))
+    place = F.coalesce(X.display_path(F.col("c.display_path")), context_label(section, subsection))
+    label = F.when(F.col("__located"), place).otherwise(X.label_for(field, profile.field_labels))
     shown = lambda name: F.coalesce(V.as_text(F.col(name)), F.when(V.is_blank(F.col(name)), F.lit("None")), V.json_text(F.col(name)))
     return (
         named.withColumn("field_label", label)

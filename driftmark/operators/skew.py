@@ -1,8 +1,10 @@
 """Joins and ordered windows that keep working when one key holds a large share of all rows.
 
 A key is *heavy* when it has more than ``1/parts`` of all rows; there are at most ``parts`` such
-keys whatever the data, which is the bound behind every broadcast in this module.  Lighter keys
-take the plain path: one hash shuffle, nothing added.
+keys whatever the data, which is the bound behind every broadcast in this module.
+
+Heavy keys are measured first, by one aggregate over the key columns, and kept in a checkpoint.
+Without any, the plan is the plain one: one hash shuffle, nothing added.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmark.session import cut_lineage
+
 PARTS = 1000
 MIN_ROWS = 1_000_000
 SPLITS = 64
@@ -19,8 +23,8 @@ SPLITS = 64
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], parts: int = PARTS, min_rows: int = MIN_ROWS) -> DataFrame:
     """`(keys, __n)` of the keys with more than `1/parts` of the rows; at most `parts` rows."""
-    total = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
     return counts.filter((F.col("__n") > min_rows) & (F.col("__n") * parts > total))
 
 
@@ -38,7 +42,10 @@ def lookup_join(
 
     Only the dimension rows of heavy keys are repeated, at most ``parts * salts`` rows more.
     """
-    heavy = F.broadcast(heavy_keys(fact.select(*keys), keys, parts, min_rows).select(*keys, F.lit(True).alias("__heavy")))
+    measured = cut_lineage(heavy_keys(fact.select(*keys), keys, parts, min_rows).coalesce(1))
+    if measured.isEmpty():
+        return fact.join(dim, list(keys), how)
+    heavy = F.broadcast(measured.select(*keys, F.lit(True).alias("__heavy")))
     spread = [F.col(c) for c in (salt_by or [c for c in fact.columns if c not in keys])]
     salted_fact = fact.join(heavy, list(keys), "left").withColumn(
         "__salt",
@@ -57,7 +64,7 @@ class OrderedKeys:
 
     Split points of a heavy key are its rows whose order hash falls on every n-th value, so they
     are the same on every retry and there are about ``splits`` of them.  `order` has to be unique
-    within a key.
+    within a key.  `measure` may give cheaper rows to count keys on, at least as many per key.
     """
 
     def __init__(
@@ -68,11 +75,17 @@ class OrderedKeys:
         parts: int = PARTS,
         min_rows: int = MIN_ROWS,
         splits: int = SPLITS,
+        measure: DataFrame | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
-        rank = F.struct(*order)
         narrow = df.select(*{*keys, *order})
-        heavy = heavy_keys(narrow, keys, parts, min_rows)
+        heavy = cut_lineage(heavy_keys(narrow if measure is None else measure, keys, parts, min_rows).coalesce(1))
+        self.split = not heavy.isEmpty()
+        if not self.split:
+            self.rows = df
+            self.window = Window.partitionBy(*keys).orderBy(*order)
+            return
+        rank = F.struct(*order)
         stride = F.ceil(F.col("__n") / splits)
         points = (
             narrow.join(F.broadcast(heavy), self.keys)
@@ -80,8 +93,9 @@ class OrderedKeys:
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_set(rank)).alias("__points"))
         )
-        marked = df.join(F.broadcast(heavy.join(points, self.keys, "left").drop("__n").withColumn("__heavy", F.lit(True))), self.keys, "left")
-        before = F.size(F.filter("__points", lambda p: p < rank))
+        cuts = cut_lineage(heavy.select(*keys).join(points, self.keys, "left").withColumn("__heavy", F.lit(True)).coalesce(1))
+        before = F.coalesce(F.size(F.filter("__points", lambda p: p < rank)), F.lit(0))
+        marked = df.join(F.broadcast(cuts), self.keys, "left")
         self.rows = marked.withColumn("__bucket", F.when(F.col("__points").isNotNull(), before).otherwise(0)).drop("__points")
         self.window = Window.partitionBy(*keys, "__bucket").orderBy(*order)
 
@@ -97,6 +111,8 @@ class OrderedKeys:
     def lag(self, columns: Sequence[str], into: str) -> DataFrame:
         """Adds struct `into` with the given columns of the preceding row (null for the first)."""
         held = F.struct(*columns)
+        if not self.split:
+            return self.rows.withColumn(into, F.lag(held).over(self.window))
         tails = self._heavy_rows().groupBy(*self.keys, "__bucket").agg(F.max_by(held, F.struct(*self.order)).alias("__tail"))
         carried = tails.select(
             *self.keys, "__bucket", F.lag("__tail").over(self._between_buckets()).alias("__carried")
@@ -108,6 +124,8 @@ class OrderedKeys:
     def running_sums(self, amounts: dict[str, Column]) -> DataFrame:
         """Adds inclusive running totals, one column per entry of `amounts`."""
         frame = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        if not self.split:
+            return self.rows.select("*", *[F.sum(a).over(frame).alias(n) for n, a in amounts.items()])
         totals = self._heavy_rows().groupBy(*self.keys, "__bucket").agg(
             *[F.sum(a).alias(f"__s_{n}") for n, a in amounts.items()]
         )

@@ -184,9 +184,9 @@ def block_sections(pages: DataFrame) -> DataFrame:
         F.concat_ws(":", F.col("page_id").cast("string"), "tag").alias("stable_key"),
         F.when(F.col("tag") == "li", "field_value").otherwise("section").alias("content_type"),
         F.lit(presets.SOURCE_KIND).alias("source_kind"),
-        X.clean_text(F.col("block")).alias("content"),
+        F.col("block").alias("content"),
         (F.col("at") + 1).alias("position"),
-    ).filter("content <> ''")
+    ).filter(X.has_text(F.col("content")))
 
 
 # ---- price lists per part --------------------------------------------------------------------------------------
