@@ -57,11 +57,13 @@ def misplaced_text(field: Column, before: Column, after: Column, profile: Profil
 def moved_text(removed: Column, blob: Column) -> Column:
     """True when a removed run of at least 20 words is still part of the entity's descriptions."""
 
+    def present(wanted: Column) -> Column:
+        long = (wanted != "") & (F.size(F.split(wanted, " ")) >= presets.MOVED_MIN_WORDS)
+        # The head is part of the run, so its presence decides for both.
+        return long & F.contains(blob, F.substring(wanted, 1, presets.MOVED_PREFIX_CHARS))
+
     def found(run: Column) -> Column:
-        wanted = X.normalize_text(X.strip_leading_label(run))
-        long = X.word_count(wanted) >= presets.MOVED_MIN_WORDS
-        head = F.substring(wanted, 1, presets.MOVED_PREFIX_CHARS)
-        return long & (F.contains(blob, wanted) | F.contains(blob, head))
+        return V.let(X.normalize_text(X.strip_leading_label(run)), present)
 
     return F.coalesce((blob != "") & F.exists(removed, found), F.lit(False))
 

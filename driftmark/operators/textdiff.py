@@ -7,6 +7,9 @@ changed pairs only.  Everything derived from the tokens is native.
 from __future__ import annotations
 
 import difflib
+import math
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,20 +20,101 @@ from driftmark import presets
 from driftmark.functions import text as X
 
 TOKENS = ArrayType(StructType().add("op", StringType()).add("text", StringType()))
-OPS = {"  ": "equal", "- ": "delete", "+ ": "insert"}
+CLOSE = 0.75  # similarity from which two words count as one word that was edited
+
+
+def _close_words(old: list[str], new: list[str]) -> list[list[tuple[str, str]]]:
+    """Pairs of different but similar words, grouped by similarity, most similar first."""
+    groups: dict[float, list[tuple[str, str]]] = defaultdict(list)
+    matcher = difflib.SequenceMatcher(difflib.IS_CHARACTER_JUNK)
+    lengths = sorted(set(old), key=len)
+    sizes = [len(w) for w in lengths]
+    for word in dict.fromkeys(new):
+        matcher.set_seq2(word)
+        # 2 * min / (sum of lengths) bounds the similarity from above.
+        low = bisect_left(sizes, math.ceil(len(word) * CLOSE / (2 - CLOSE)))
+        high = bisect_right(sizes, math.floor(len(word) * (2 - CLOSE) / CLOSE))
+        for other in lengths[low:high]:
+            if other != word:
+                matcher.set_seq1(other)
+                if matcher.quick_ratio() >= CLOSE and matcher.ratio() >= CLOSE:
+                    groups[matcher.ratio()].append((other, word))
+    return [groups[r] for r in sorted(groups, reverse=True)]
+
+
+def _first(places: list[int], low: int, high: int) -> int | None:
+    at = bisect_left(places, low)
+    return places[at] if at < len(places) and places[at] < high else None
+
+
+def _replaced(old: list[str], new: list[str]):
+    """Tokens of a replaced block: similar words are set against each other, the most similar first.
+
+    Same result as the `ndiff` search over all pairs of places, but similarities are computed once
+    per pair of distinct words and blocks are split from a stack, so long rewrites neither recurse
+    nor compare the same words again.
+    """
+    at_old, at_new = defaultdict(list), defaultdict(list)
+    for i, w in enumerate(old):
+        at_old[w].append(i)
+    for j, w in enumerate(new):
+        at_new[w].append(j)
+    stack = [(0, len(old), 0, len(new), _close_words(old, new))]
+    while stack:
+        block = stack.pop()
+        if len(block) == 2:
+            yield block
+            continue
+        alo, ahi, blo, bhi, close = block
+        if alo == ahi or blo == bhi:
+            yield from (("delete", w) for w in old[alo:ahi])
+            yield from (("insert", w) for w in new[blo:bhi])
+            continue
+        best, left = None, []
+        for group in close:
+            here = []
+            for pair in group:
+                i, j = _first(at_old[pair[0]], alo, ahi), _first(at_new[pair[1]], blo, bhi)
+                if i is not None and j is not None:
+                    here.append((j, i, pair))
+            if here:
+                best = best or min(here)[:2]
+                left.append([p for _, _, p in here])
+        if best:
+            j, i = best
+            middle = [("insert", new[j]), ("delete", old[i])]
+        else:
+            equal = ((j, _first(at_old.get(new[j], []), alo, ahi)) for j in range(blo, bhi))
+            j, i = next(((j, i) for j, i in equal if i is not None), (None, None))
+            if j is None:
+                sides = [[("delete", w) for w in old[alo:ahi]], [("insert", w) for w in new[blo:bhi]]]
+                yield from (t for side in (reversed(sides) if bhi - blo < ahi - alo else sides) for t in side)
+                continue
+            middle = [("equal", old[i])]
+        stack.append((i + 1, ahi, j + 1, bhi, left))
+        stack.extend(middle)
+        stack.append((alo, i, blo, j, left))
+
+
+def word_tokens(before: str, after: str) -> list[tuple[str, str]]:
+    """`ndiff` tokens of two texts by words, without its hint lines."""
+    old, new = before.split(), after.split()
+    tokens = []
+    for op, i, k, j, n in difflib.SequenceMatcher(None, old, new).get_opcodes():
+        if op == "replace":
+            tokens.extend(_replaced(old[i:k], new[j:n]))
+        else:
+            tokens.extend((op, w) for w in (new[j:n] if op == "insert" else old[i:k]))
+    return tokens
 
 
 @F.pandas_udf(TOKENS)
 def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """`ndiff` over the words of the whole texts; hint lines are left out."""
-
-    def tokens(b, a):
-        if b is None or a is None:
-            return None
-        lines = difflib.ndiff(b.split(), a.split())
-        return [{"op": OPS[x[:2]], "text": x[2:]} for x in lines if x[:2] in OPS]
-
-    return pd.Series([tokens(b, a) for b, a in zip(before, after)])
+    """Word diff of the whole texts; null where a side is null."""
+    pairs = zip(before, after)
+    return pd.Series(
+        [None if b is None or a is None else [{"op": o, "text": w} for o, w in word_tokens(b, a)] for b, a in pairs]
+    )
 
 
 RUNS = ArrayType(StructType().add("op", StringType()).add("removed", StringType()).add("added", StringType()))

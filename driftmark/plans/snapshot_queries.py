@@ -250,7 +250,7 @@ UNION ALL SELECT event_id, 'props.k', CAST(p_k AS VARCHAR), CAST(k AS VARCHAR) F
 def nested_field_changes(spark: SparkSession, folder: str) -> DataFrame:
     rows = user_versions(spark, folder).filter("previous is not null")
     pairs = rows.select("event_id", _document("previous.").alias("before"), _document().alias("after"))
-    changes = C.document_changes(pairs)
+    changes = C.document_changes(pairs, max_depth=3)
     return changes.select("event_id", "field", V.canonical(F.col("before")).alias("before"), V.canonical(F.col("after")).alias("after"))
 
 
@@ -297,5 +297,5 @@ def snapshot_store_diff(spark: SparkSession, folder: str) -> DataFrame:
     previous, current = monitor.diff_latest(spark, root)
     pairs = monitor.pairs_to_compare(spark, root, previous, current)
     both = pairs.filter("before is not null and after is not null")
-    changes = C.document_changes(both)
+    changes = C.document_changes(both, max_depth=2)
     return changes.select("entity_id", "field", V.as_text(F.col("before")).alias("before"), V.as_text(F.col("after")).alias("after"))
