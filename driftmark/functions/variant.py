@@ -148,13 +148,10 @@ def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False
             ),
         )
         itself = F.array(F.struct("path", "pos", "node", F.lit(False).alias("__open")))
-        inner = F.lit(False) if leaves_only else F.lit(True)
-        nested = F.coalesce(of_object, of_list)
-        step = F.when(
-            F.col("__open") & nested.isNotNull(),
-            F.when(inner, F.concat(itself, nested)).otherwise(nested),
-        ).otherwise(itself)
-        rows = rows.select(*keep, F.explode(step).alias("__n")).select(*keep, "__n.*")
+        opened = rows.withColumn("__nested", F.when(F.col("__open"), F.coalesce(of_object, of_list)))
+        below = F.col("__nested") if leaves_only else F.concat(itself, "__nested")
+        step = F.when(F.col("__nested").isNotNull(), below).otherwise(itself)
+        rows = opened.select(*keep, F.explode(step).alias("__n")).select(*keep, "__n.*")
     deeper = F.col("__open") & (as_object(F.col("node")).isNotNull() | as_list(F.col("node")).isNotNull())
     guard = F.when(deeper, F.raise_error(F.lit("document nested deeper than walk(max_depth)")).cast("boolean")).otherwise(
         F.lit(True)

@@ -113,14 +113,17 @@ def document_changes(
         F.lit(True).alias("__open"),
     )
     for _ in range(max_depth):
-        old, new = V.as_object(F.col("before")), V.as_object(F.col("after"))
+        # The members of both sides are columns of their own, so they are read once per row.
+        opened = rows.withColumns(
+            {f"__{side}": F.when(F.col("__open"), V.as_object(F.col(side))) for side in ("before", "after")}
+        )
         members = F.transform(
-            F.array_sort(F.array_union(F.map_keys(old), F.map_keys(new))),
+            F.array_sort(F.array_union(F.map_keys("__before"), F.map_keys("__after"))),
             lambda k: F.struct(
                 F.concat("path", F.array(k)).alias("path"),
-                F.try_element_at(old, k).alias("before"),
-                F.try_element_at(new, k).alias("after"),
-                (F.map_contains_key(old, k) & F.map_contains_key(new, k)).alias("__open"),
+                F.try_element_at("__before", k).alias("before"),
+                F.try_element_at("__after", k).alias("after"),
+                (F.map_contains_key("__before", k) & F.map_contains_key("__after", k)).alias("__open"),
             ),
         )
         relevant = F.filter(
@@ -129,8 +132,8 @@ def document_changes(
             & (~m["__open"] | (V.canonical(m["before"]) != V.canonical(m["after"]))),
         )
         itself = F.array(F.struct("path", "before", "after", F.lit(False).alias("__open")))
-        both = F.col("__open") & old.isNotNull() & new.isNotNull()
-        rows = rows.select(*keep, F.explode(F.when(both, relevant).otherwise(itself)).alias("__m")).select(*keep, "__m.*")
+        both = F.col("__before").isNotNull() & F.col("__after").isNotNull()
+        rows = opened.select(*keep, F.explode(F.when(both, relevant).otherwise(itself)).alias("__m")).select(*keep, "__m.*")
     deeper = F.col("__open") & V.as_object(F.col("before")).isNotNull() & V.as_object(F.col("after")).isNotNull()
     guard = F.when(deeper, F.raise_error(F.lit("objects differ below document_changes(max_depth)")).cast("boolean")).otherwise(F.lit(True))
     field = F.when(F.size("path") == 0, F.lit("<root>")).otherwise(F.array_join("path", "."))
