@@ -105,12 +105,9 @@ def json_text(doc: Column, depth: int = 8) -> Column:
             json_text(m["value"], depth - 1),
         ),
     )
-    body = F.array_join(parts, ", ")
-    return (
-        F.when(as_list(doc).isNotNull(), F.concat(F.lit("["), body, F.lit("]")))
-        .when(as_object(doc).isNotNull(), F.concat(F.lit("{"), body, F.lit("}")))
-        .otherwise(scalar)
-    )
+    listed, keyed = as_list(doc).isNotNull(), as_object(doc).isNotNull()
+    opening, closing = F.when(listed, F.lit("[")).otherwise("{"), F.when(listed, F.lit("]")).otherwise("}")
+    return F.when(listed | keyed, F.concat(opening, F.array_join(parts, ", "), closing)).otherwise(scalar)
 
 
 def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from driftmark.operators import prices as P
 from driftmark.operators import textdiff as W
 from driftmark.operators.entity_diff import document_changes
 from driftmark.presets import DEFAULT, Profile
+from driftmark.session import cut_lineage
 
 CONTEXT = (
     "main_section",
@@ -217,6 +218,27 @@ def _entry_summary(doc: Column, profile: Profile) -> Column:
     )
 
 
+def described_changes(changes: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """Change rows with what they need of their document `doc`, and without the document.
+
+    Adds entity columns, the stored section context, and the description text of evidence changes.
+    """
+    doc, field = F.col("doc"), F.col("field")
+    return changes.select(
+        "__key",
+        I.identity_of(doc, F.lit("unknown"), profile).alias("entity_id"),
+        I.name_of(doc, profile).alias("entity_name"),
+        V.at(doc, "manufacturer").alias("manufacturer"),
+        V.at(doc, "bfarm_directory_url").alias("entity_url"),
+        "change_type",
+        "field",
+        "before",
+        "after",
+        document_context(doc, field).alias("__stored"),
+        F.when(field == profile.evidence_field, description_blob(doc)).alias("__blob"),
+    )
+
+
 def build_change_events(
     pairs: DataFrame,
     previous_ts: str,
@@ -229,7 +251,7 @@ def build_change_events(
 
     One row per added and removed entity and per field change that is a change in substance: moved
     text, misplaced text and re-ordered prices are dropped.  Word diffs are computed for text
-    changes only.
+    changes only.  The change rows are kept in a checkpoint, since several branches read them.
     """
     base = pairs.select(
         F.col("entity_id").alias("__key"),
@@ -247,26 +269,22 @@ def build_change_events(
         F.when(F.col("is_new"), _entry_summary(F.col("after"), profile)).alias("after"),
         F.when(F.col("is_new"), F.lit(presets.ADDED)).otherwise(F.lit(presets.REMOVED)).alias("change_type"),
     )
-    changes = document_changes(
+    changed = document_changes(
         base.filter("not is_new and not is_gone").select("__key", "doc", "before", "after"), profile=profile, max_depth=max_depth
     )
-    old, new = V.as_text(F.col("before")), V.as_text(F.col("after"))
-    typed = changes.select(
-        "__key", "doc", "field", "before", "after",
-        classify_change(F.col("field"), old.isNotNull(), new.isNotNull(), profile).alias("change_type"),
-    )
-    kept = drop_moved_text(typed.filter(~misplaced_text(F.col("field"), old, new, profile)), profile)
-    fields = drop_reordered_prices(kept)
-    return enrich_events(whole.unionByName(fields), previous_ts, current_ts, detected_at, profile)
+    old, new = V.is_text(F.col("before")), V.is_text(F.col("after"))
+    typed = changed.select("__key", "doc", "field", "before", "after", classify_change(F.col("field"), old, new, profile).alias("change_type"))
+    described = described_changes(whole.unionByName(typed), profile)
+    return enrich_events(drop_reordered_prices(cut_lineage(drop_misplaced_text(described, profile))), previous_ts, current_ts, detected_at, profile)
 
 
-def drop_moved_text(changes: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """Drop evidence changes whose removed text is still among the entity's descriptions."""
-    candidate = F.col("field") == profile.evidence_field
-    old, new = V.as_text(F.col("before")), V.as_text(F.col("after"))
-    evidence = changes.filter(candidate).withColumn("__runs", W.word_runs(old, new))
-    moved = moved_text(W.removed_runs(F.col("__runs")), description_blob(F.col("doc")))
-    return changes.filter(~candidate).unionByName(evidence.filter(~moved).drop("__runs"))
+def drop_misplaced_text(changes: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """Drop evidence changes that are boilerplate, or whose removed text is still among the descriptions."""
+    evidence = F.col("field") == profile.evidence_field
+    old, new = F.when(evidence, V.as_text(F.col("before"))), F.when(evidence, V.as_text(F.col("after")))
+    kept = changes.filter(~(is_boilerplate(old) | is_boilerplate(new)))
+    runs = kept.withColumn("__runs", W.word_runs(old, new))
+    return runs.filter(~moved_text(W.removed_runs(F.col("__runs")), F.col("__blob"))).drop("__runs", "__blob")
 
 
 def drop_reordered_prices(changes: DataFrame) -> DataFrame:
@@ -278,25 +296,24 @@ def drop_reordered_prices(changes: DataFrame) -> DataFrame:
 
 
 def enrich_events(changes: DataFrame, previous_ts: str, current_ts: str, detected_at: str, profile: Profile = DEFAULT) -> DataFrame:
-    """Attach entity columns, timestamps, context, word diff, kind, label and summary."""
+    """Attach timestamps, context, word diff, kind, label and summary to described changes."""
     field, kind = F.col("field"), F.col("change_type")
     old, new = V.as_text(F.col("before")), V.as_text(F.col("after"))
     textual = kind == presets.TEXT
-    diffed = changes.select(
+    diffed = changes.drop("__key").select(
         "*",
         W.word_diff(F.when(textual, old), F.when(textual, new)).alias("word_diff"),
         inferred_context(field, profile).alias("__inferred"),
         evidence_context(field, old, new, profile).alias("__evidence"),
-        document_context(F.col("doc"), field).alias("__stored"),
     )
     inferred, evidence, stored = F.col("__inferred"), F.col("__evidence"), F.col("__stored")
     located = inferred.isNotNull() | evidence["display_path"].isNotNull() | stored.isNotNull()
     named = diffed.select(
         F.lit(detected_at).alias("detected_at"),
-        I.identity_of(F.col("doc"), F.lit("unknown"), profile).alias("entity_id"),
-        I.name_of(F.col("doc"), profile).alias("entity_name"),
-        V.at(F.col("doc"), "manufacturer").alias("manufacturer"),
-        V.at(F.col("doc"), "bfarm_directory_url").alias("entity_url"),
+        "entity_id",
+        "entity_name",
+        "manufacturer",
+        "entity_url",
         "change_type",
         "field",
         "before",
@@ -312,13 +329,14 @@ def enrich_events(changes: DataFrame, previous_ts: str, current_ts: str, detecte
     subsection = F.coalesce("c.question_label", "c.subsection_title", "c.section_field_label")
     place = F.coalesce(X.display_path(F.col("c.display_path")), context_label(section, subsection))
     label = F.when(F.col("__located"), place).otherwise(X.label_for(field, profile.field_labels))
-    shown = lambda name: F.coalesce(V.as_text(F.col(name)), F.when(V.is_blank(F.col(name)), F.lit("None")), V.json_text(F.col(name)))
-    return (
-        named.withColumn("field_label", label)
-        .withColumn("summary", summary(kind, F.col("field_label"), F.col("text_change_kind"), shown("before"), shown("after")))
-        .select("*", "c.*")
-        .drop("c", "__located")
-    )
+    # Values are spelled out for the two kinds of summary that quote them.
+    quoted = kind.isin(presets.PRICE, presets.STATUS)
+    shown = lambda name: F.when(
+        quoted, F.coalesce(V.as_text(F.col(name)), F.when(V.is_blank(F.col(name)), F.lit("None")), V.json_text(F.col(name)))
+    ).alias(f"__{name}")
+    spelled = named.select("*", label.alias("field_label"), shown("before"), shown("after"))
+    sentence = summary(kind, F.col("field_label"), F.col("text_change_kind"), F.col("__before"), F.col("__after"))
+    return spelled.select("*", sentence.alias("summary"), "c.*").drop("c", "__located", "__before", "__after")
 
 
 # ---- events as stored: old and new names, flags --------------------------------------------------------------

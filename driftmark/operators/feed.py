@@ -229,11 +229,11 @@ def match_entities(events: DataFrame, event_id: str, event_keys: Sequence[str],
     def keys(names: Sequence[str]) -> Column:
         return F.explode(F.array_distinct(F.filter(F.array(*[F.lower(F.col(n).cast("string")) for n in names]), lambda k: k.isNotNull() & (k != ""))))
 
-    owners = entries.select(keys(entry_keys).alias("key"), entry_id, position).groupBy("key").agg(
-        F.min(F.struct(position, entry_id)).alias("owner")
+    owners = entries.select(keys(entry_keys).alias("__key"), F.struct(position, entry_id).alias("owner")).groupBy("__key").agg(
+        F.min("owner").alias("owner")
     )
-    probes = events.select(event_id, keys(event_keys).alias("key"))
-    hits = lookup_join(probes, owners, ["key"], "left", salt_by=[event_id])
+    probes = events.select(event_id, keys(event_keys).alias("__key"))
+    hits = lookup_join(probes, owners, ["__key"], "left", salt_by=[event_id])
     return hits.groupBy(event_id).agg(F.min("owner").alias("owner")).select(event_id, F.col(f"owner.{entry_id}").alias(entry_id))
 
 

@@ -19,13 +19,13 @@ AMOUNT, PERIOD, ORDER, OPAQUE = "amount", "period", "order", "opaque"
 # ---- relational form: one row per price line -------------------------------------------------------
 
 
-def compare_price_lines(before: DataFrame, after: DataFrame, key: str, line: Sequence[str], position: str) -> DataFrame:
+def compare_price_lines(before: DataFrame, after: DataFrame, key: str, line: Sequence[str], position: str, all_entities: bool = False) -> DataFrame:
     """Verdict per entity over price lines `(key, amount, start, end, currency, position)`.
 
     Lists are never gathered.  Equal lines of both sides cancel out in one aggregate per
     `(entity, line)`, amounts in a second one per `(entity, amount)`, so a single entity with a
     large share of all lines is spread by its lines.  The verdict is `amount`, `period` or `order`;
-    entities whose lists are equal item by item are left out.
+    entities whose lists are equal item by item are left out, or get `order` too with `all_entities`.
     """
 
     def marked(df: DataFrame, b: int, a: int) -> DataFrame:
@@ -55,7 +55,7 @@ def compare_price_lines(before: DataFrame, after: DataFrame, key: str, line: Seq
         F.max("lines_differ").alias("periods_differ"),
         (F.sum("placed") != 0).alias("order_differs"),
     )
-    verdict = F.when(F.col("amounts_differ"), AMOUNT).when(F.col("periods_differ"), PERIOD).when(F.col("order_differs"), ORDER)
+    verdict = F.when(F.col("amounts_differ"), AMOUNT).when(F.col("periods_differ"), PERIOD).when(F.col("order_differs") | F.lit(all_entities), ORDER)
     return (
         entities.withColumn("verdict", verdict)
         .filter(F.col("verdict").isNotNull())
@@ -123,14 +123,11 @@ def price_document_verdicts(changes: DataFrame, keys: Sequence[str], before: str
     new = price_lines(changes.filter(~V.is_blank(F.col(after))), after, keys)
     packed = F.struct(*keys)
     known = compare_price_lines(
-        old.withColumn("__key", packed), new.withColumn("__key", packed), "__key", line, "position"
+        old.withColumn("__key", packed), new.withColumn("__key", packed), "__key", line, "position", all_entities=True
     ).select(*[F.col(f"__key.{k}").alias(k) for k in keys], "verdict")
-    present = old.select(*keys).unionByName(new.select(*keys)).distinct().withColumn("__lines", F.lit(True))
-    joined = changes.join(present, list(keys), "left").join(known, list(keys), "left")
-    verdict = F.when(F.col("__lines").isNull(), OPAQUE).otherwise(F.coalesce("verdict", F.lit(ORDER)))
-    visible = verdict.isin(AMOUNT, PERIOD)
-    opaque_differs = (verdict == OPAQUE) & (V.canonical(F.col(before)) != V.canonical(F.col(after)))
-    return joined.drop("__lines").withColumn("verdict", verdict).withColumn("visible", visible).withColumn(
+    judged = changes.join(known, list(keys), "left").withColumn("verdict", F.coalesce("verdict", F.lit(OPAQUE)))
+    opaque_differs = (F.col("verdict") == OPAQUE) & (V.canonical(F.col(before)) != V.canonical(F.col(after)))
+    return judged.withColumn("visible", F.col("verdict").isin(AMOUNT, PERIOD)).withColumn(
         "semantic", F.col("visible") | opaque_differs
     )
 
