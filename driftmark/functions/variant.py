@@ -111,7 +111,7 @@ def json_text(doc: Column, depth: int = 8) -> Column:
 
 
 def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False) -> DataFrame:
-    """One row per node: `path array<string>`, `pos array<int>` (sort by it for document order), `node`.
+    """One row per node: `path array<string>`, `node_pos array<int>` (sort by it for document order), `node`.
 
     A chain of narrow generators, one per level, so no level is evaluated twice and nothing is
     shuffled.  Documents deeper than `max_depth` stop the job instead of losing nodes.
@@ -120,7 +120,7 @@ def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False
     rows = df.select(
         *keep,
         F.array().cast("array<string>").alias("path"),
-        F.array().cast("array<int>").alias("pos"),
+        F.array().cast("array<int>").alias("node_pos"),
         F.col(doc).alias("node"),
         F.lit(True).alias("__open"),
     ).filter(F.col("node").isNotNull())
@@ -130,7 +130,7 @@ def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False
             F.map_entries(members),
             lambda e, i: F.struct(
                 F.concat("path", F.array(e["key"])).alias("path"),
-                F.concat("pos", F.array(i)).alias("pos"),
+                F.concat("node_pos", F.array(i)).alias("node_pos"),
                 e["value"].alias("node"),
                 F.lit(True).alias("__open"),
             ),
@@ -139,12 +139,12 @@ def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False
             items,
             lambda v, i: F.struct(
                 F.concat("path", F.array(i.cast("string"))).alias("path"),
-                F.concat("pos", F.array(i)).alias("pos"),
+                F.concat("node_pos", F.array(i)).alias("node_pos"),
                 v.alias("node"),
                 F.lit(True).alias("__open"),
             ),
         )
-        itself = F.array(F.struct("path", "pos", "node", F.lit(False).alias("__open")))
+        itself = F.array(F.struct("path", "node_pos", "node", F.lit(False).alias("__open")))
         opened = rows.withColumn("__nested", F.when(F.col("__open"), F.coalesce(of_object, of_list)))
         below = F.col("__nested") if leaves_only else F.concat(itself, "__nested")
         step = F.when(F.col("__nested").isNotNull(), below).otherwise(itself)
@@ -157,6 +157,6 @@ def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False
 
 
 def text_leaves(df: DataFrame, doc: str, max_depth: int = 12) -> DataFrame:
-    """String leaves with their path: the `path`, `pos` and `text` of each."""
+    """String leaves with their path: the `path`, `node_pos` and `text` of each."""
     rows = walk(df, doc, max_depth, leaves_only=True)
     return rows.withColumn("text", as_text(F.col("node"))).filter(F.col("text").isNotNull()).drop("node")

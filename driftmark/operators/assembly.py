@@ -73,7 +73,7 @@ def references(df: DataFrame, doc: str, keys: Sequence[str], prefix: str = prese
     """All references with the prefix inside a document: `(keys, pos_in_doc, reference)`."""
     nodes = V.walk(df.select(*keys, doc), doc)
     reference = V.text_at(F.col("node"), "reference")
-    return nodes.select(*keys, F.col("pos").alias("pos_in_doc"), reference.alias("reference")).filter(
+    return nodes.select(*keys, F.col("node_pos").alias("pos_in_doc"), reference.alias("reference")).filter(
         F.startswith("reference", F.lit(prefix))
     )
 
@@ -135,7 +135,7 @@ def question_labels(questionnaires: DataFrame) -> DataFrame:
     latest = I.latest_per_key(named, ["url"], ["pos"])
     items = _items(latest, ["url"])
     link, label = I.truthy_text(V.member(F.col("node"), "linkId")), I.truthy_text(V.member(F.col("node"), "text"))
-    rows = items.select("url", link.alias("link_id"), X.clean_text(label).alias("label"), F.col("pos").alias("at"))
+    rows = items.select("url", link.alias("link_id"), X.clean_text(label).alias("label"), F.col("node_pos").alias("at"))
     return I.latest_per_key(rows.filter("link_id is not null and label is not null"), ["url", "link_id"], ["at"]).drop("at")
 
 
@@ -165,7 +165,7 @@ def questionnaire_answers(responses: DataFrame, keys: Sequence[str]) -> DataFram
     parts = F.flatten(F.transform(V.as_list(V.member(F.col("node"), "answer")), _answer_parts))
     link = F.coalesce(I.truthy_text(V.member(F.col("node"), "linkId")), F.lit("unknown"))
     rows = items.select(
-        *keys, "questionnaire", F.col("pos").alias("item_pos"), link.alias("link_id"), X.clean_text(F.array_join(parts, " ")).alias("text")
+        *keys, "questionnaire", F.col("node_pos").alias("item_pos"), link.alias("link_id"), X.clean_text(F.array_join(parts, " ")).alias("text")
     )
     return rows.filter("text <> ''")
 
@@ -318,7 +318,7 @@ def price_information(units: DataFrame) -> DataFrame:
 def indications(units: DataFrame) -> DataFrame:
     """Distinct codings of the units that look like diagnosis codes: `(entity_id, indication, at)`."""
     keys = ["entity_id", "module_pos", "pos"]
-    nodes = V.walk(units.select(*keys, "resource").withColumnRenamed("pos", "unit_pos"), "resource")
+    nodes = V.walk(units.select(*keys, "resource"), "resource")
     node = F.col("node")
     own = F.when(
         F.map_contains_key(V.as_object(node), F.lit("code")) & F.map_contains_key(V.as_object(node), F.lit("display")), F.array(node)
@@ -326,7 +326,7 @@ def indications(units: DataFrame) -> DataFrame:
     listed = F.filter(V.as_list(V.member(node, "coding")), lambda c: V.as_object(c).isNotNull())
     empty = F.array().cast(V.LIST)
     codings = nodes.select(
-        "entity_id", F.struct("module_pos", "unit_pos", "pos").alias("at"),
+        "entity_id", F.struct("module_pos", "pos", "node_pos").alias("at"),
         F.posexplode(F.concat(F.coalesce(own, empty), F.coalesce(listed, empty))).alias("n", "coding"),
     )
     code = F.coalesce(I.truthy_text(V.member(F.col("coding"), "code")), F.lit(""))

@@ -87,9 +87,9 @@ def price_lines(df: DataFrame, doc: str, keys: Sequence[str], max_depth: int = 8
     )
     mention = X.truthy(F.try_element_at(M.amounts_in_text(V.as_text(node)), F.lit(1)))
     picked = nodes.groupBy(*keys, "position").agg(
-        F.min_by(period, F.when(period.isNotNull(), F.col("pos"))).alias("p"),
-        F.min_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("named"),
-        F.min_by(mention, F.when(mention.isNotNull(), F.col("pos"))).alias("mention"),
+        F.min_by(period, F.when(period.isNotNull(), F.col("node_pos"))).alias("p"),
+        F.min_by(named, F.when(named.isNotNull(), F.col("node_pos"))).alias("named"),
+        F.min_by(mention, F.when(mention.isNotNull(), F.col("node_pos"))).alias("mention"),
     )
     text = F.coalesce("named", "mention")
     split = M.split_amount(text)

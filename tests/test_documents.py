@@ -102,7 +102,7 @@ def test_display_and_json_text(spark):
 def test_walk_and_leaves(spark):
     doc = {"b": [{"x": "q"}, "r"], "a": "p", "n": 1}
     df = spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.parse_json("j").alias("v"))
-    leaves = V.text_leaves(df, "v").orderBy("pos").collect()
+    leaves = V.text_leaves(df, "v").orderBy("node_pos").collect()
     assert [(".".join(r.path), r.text) for r in leaves] == [("a", "p"), ("b.0.x", "q"), ("b.1", "r")]
     assert V.walk(df, "v").count() == 7
     with pytest.raises(Exception, match="max_depth"):
