@@ -223,7 +223,7 @@ def assemble(resources: dict[str, DataFrame], directory: DataFrame, by: str = "t
 
     def by_app(kind: str, path: str) -> DataFrame:
         rows = resources[kind].select(V.text_at(res, path).alias("app_ref"), "pos", "resource")
-        return rows.filter("app_ref is not null").join(owner, "app_ref")
+        return lookup_join(rows.filter("app_ref is not null"), owner, ["app_ref"], "inner", salt_by=["pos"])
 
     modules = by_app("modules", "parentDevice.reference").select(
         "entity_id", "pos", V.at(res, "id").alias("module_id"), V.at(res, "meta.lastUpdated").alias("last_updated")
@@ -233,7 +233,8 @@ def assemble(resources: dict[str, DataFrame], directory: DataFrame, by: str = "t
     parents = modules.select(
         F.concat(F.lit(presets.DEVICE_REFERENCE), "module_id").alias("module_ref"), "entity_id", F.col("pos").alias("module_pos")
     )
-    units = unit_refs.join(parents, "module_ref").join(resources["prescription_units"], "pos")
+    owned = lookup_join(unit_refs, parents, ["module_ref"], "inner", salt_by=["pos"])
+    units = lookup_join(owned, resources["prescription_units"].select("pos", "resource"), ["pos"], "inner", salt_by=["module_ref"])
 
     labels = question_labels(resources["questionnaires"])
     answers = labelled_answers(questionnaire_answers(responses, ["entity_id", "pos"]), labels)

@@ -10,7 +10,11 @@ from driftmark.functions import variant as V
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """`(file, doc VARIANT)` of JSON files with one document each; unreadable files give a null document."""
-    text = spark.read.text(path, wholetext=True)
+    return parse_documents(spark.read.text(path, wholetext=True))
+
+
+def parse_documents(text: DataFrame) -> DataFrame:
+    """The same from a frame of whole files, batch or stream."""
     return text.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from driftmark.functions import variant as V
 from driftmark.operators import identity as I
 from driftmark.presets import DEFAULT, Profile
-from driftmark.sources.bundles import read_documents
+from driftmark.sources.bundles import parse_documents, read_documents
 
 SNAPSHOT_SCHEMA = "snapshot_id string, created_at string, entry_count bigint"
 
@@ -54,7 +54,16 @@ def read_snapshot_files(spark: SparkSession, path: str) -> DataFrame:
     No `entries` gives no rows, no `created_at` reads `unknown`; `entries` that is not a list, or a
     file that is not JSON, stops the read.
     """
-    docs = read_documents(spark, path)
+    return _snapshot_rows(read_documents(spark, path))
+
+
+def stream_snapshot_files(spark: SparkSession, path: str, per_batch: int = 100) -> DataFrame:
+    """The same as a stream over a folder in which snapshot files arrive."""
+    text = spark.readStream.option("maxFilesPerTrigger", per_batch).text(path, wholetext=True)
+    return _snapshot_rows(parse_documents(text))
+
+
+def _snapshot_rows(docs: DataFrame) -> DataFrame:
     doc = F.col("doc")
     entries = V.member(doc, "entries")
     invalid = doc.isNull() | (entries.isNotNull() & V.as_list(entries).isNull())

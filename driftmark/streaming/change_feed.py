@@ -1,8 +1,13 @@
 """The change feed over a stream of arriving entity versions.
 
-The monitor used to poll; here arriving version rows drive it.  Each micro-batch is compared with
-the last known version of its entities, and the batch's transitions and its new last versions are
-written under the batch id, so a batch that is run again replaces what it wrote.
+The monitor used to poll; here arriving data drives it, in one of two modes.
+
+*Versions*: each micro-batch of version rows is compared with the last known version of its
+entities; transitions and new last versions are written under the batch id, so a batch that is run
+again replaces what it wrote.
+
+*Snapshots*: each snapshot that arrived as a whole is scanned against its stored predecessor, under
+its snapshot id.
 """
 
 from __future__ import annotations
@@ -14,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftmark.operators.skew import OrderedKeys
+from driftmark.plans import monitor
+from driftmark.presets import DEFAULT, Profile
+from driftmark.sources import snapshots
 
 
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -81,3 +89,26 @@ def start_change_feed(
 
 def read_transitions(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/transitions").parquet(f"{root}/transitions").drop("batch_id")
+
+
+def start_snapshot_feed(stream: DataFrame, root: str, checkpoint: str, profile: Profile = DEFAULT) -> StreamingQuery:
+    """Scan arriving snapshots `(snapshot_id, created_at, pos, doc VARIANT)` in id order.
+
+    A micro-batch has to hold whole snapshots, as files with one snapshot each do, and snapshots have
+    to arrive in id order across batches.  The only thing the driver sees is the list of arrivals.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        arrived = kept.select("snapshot_id", "created_at").distinct().orderBy("snapshot_id").collect()
+        for row in arrived:
+            one = snapshots.index_entries(kept.filter(F.col("snapshot_id") == row.snapshot_id), profile)
+            monitor.run_scan(one.select("entity_id", "doc"), root, row.snapshot_id, row.created_at, row.created_at, profile=profile)
+        kept.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(on_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

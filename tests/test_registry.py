@@ -224,3 +224,13 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.id, r.previous.id if r.previous else None) for r in change_feed.read_transitions(spark, root).collect()}
     batch = G.consecutive_versions(spark.createDataFrame(rows, schema), "entity", ["at", "id"], ["id", "value"])
     assert got == {(r.id, r.previous.id if r.previous else None) for r in batch.collect()}
+
+
+def test_snapshot_stream(spark, tmp_path, fixtures):
+    root = str(tmp_path / "registry")
+    stream = snapshots.stream_snapshot_files(spark, f"{fixtures}/snapshots")
+    change_feed.start_snapshot_feed(stream, root, f"{root}/cp").awaitTermination()
+    listed = snapshots.list_snapshots(spark, root).orderBy("snapshot_id").collect()
+    assert [(r.snapshot_id[-21:], r.entry_count) for r in listed] == [("20260601T000000000000Z"[-21:], 8), ("20260602T000000000000Z"[-21:], 8)]
+    assert event_store.read_events(spark, root).count() == 13
+    assert monitor.scan_history(spark, root).count() == 2
