@@ -331,10 +331,9 @@ def enrich_events(changes: DataFrame, previous_ts: str, current_ts: str, detecte
     label = F.when(F.col("__located"), place).otherwise(X.label_for(field, profile.field_labels))
     # Values are spelled out for the two kinds of summary that quote them.
     quoted = kind.isin(presets.PRICE, presets.STATUS)
-    shown = lambda name: F.when(
-        quoted, F.coalesce(V.as_text(F.col(name)), F.when(V.is_blank(F.col(name)), F.lit("None")), V.json_text(F.col(name)))
-    ).alias(f"__{name}")
-    spelled = named.select("*", label.alias("field_label"), shown("before"), shown("after"))
+    spell = lambda v: F.coalesce(V.as_text(v), F.when(V.is_blank(v), F.lit("None")), V.json_text(v))
+    values = F.when(quoted, F.transform(F.array("before", "after"), spell))
+    spelled = named.select("*", label.alias("field_label"), values[0].alias("__before"), values[1].alias("__after"))
     sentence = summary(kind, F.col("field_label"), F.col("text_change_kind"), F.col("__before"), F.col("__after"))
     return spelled.select("*", sentence.alias("summary"), "c.*").drop("c", "__located", "__before", "__after")
 

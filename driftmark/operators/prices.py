@@ -28,17 +28,16 @@ def compare_price_lines(before: DataFrame, after: DataFrame, key: str, line: Seq
     entities whose lists are equal item by item are left out, or get `order` too with `all_entities`.
     """
 
-    def marked(df: DataFrame, b: int, a: int) -> DataFrame:
-        at = F.xxhash64(position, *line)
-        return df.select(
-            key, *line, F.lit(b).cast("bigint").alias("b"), F.lit(a).cast("bigint").alias("a"),
-            ((b - a) * at.cast("decimal(38,0)")).alias("placed"),
-        )
-
-    lines = (
-        marked(before, 1, 0).unionByName(marked(after, 0, 1))
-        .groupBy(key, *line)
-        .agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.sum("placed").alias("placed"))
+    sides = before.withColumn("__side", F.lit(0)).unionByName(after.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    return _compare_sides(sides, key, line, position, all_entities)
+
+
+def _compare_sides(sides: DataFrame, key: str, line: Sequence[str], position: str, all_entities: bool) -> DataFrame:
+    """The verdicts over both sides in one frame, told apart by `__side` 0 and 1."""
+    is_before = F.col("__side") == 0
+    sign = F.when(is_before, 1).otherwise(-1) * F.xxhash64(position, *line).cast("decimal(38,0)")
+    lines = sides.groupBy(key, *line).agg(
+        F.count_if(is_before).alias("b"), F.count_if(~is_before).alias("a"), F.sum(sign).alias("placed")
     )
     amount = line[0]
     amounts = lines.groupBy(key, amount).agg(
@@ -119,12 +118,12 @@ def price_document_verdicts(changes: DataFrame, keys: Sequence[str], before: str
     semantic when the documents differ.
     """
     line = ["amount", "start", "end", "currency"]
-    old = price_lines(changes.filter(~V.is_blank(F.col(before))), before, keys)
-    new = price_lines(changes.filter(~V.is_blank(F.col(after))), after, keys)
-    packed = F.struct(*keys)
-    known = compare_price_lines(
-        old.withColumn("__key", packed), new.withColumn("__key", packed), "__key", line, "position", all_entities=True
-    ).select(*[F.col(f"__key.{k}").alias(k) for k in keys], "verdict")
+    each = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col(before).alias("d")), F.struct(F.lit(1).alias("s"), F.col(after).alias("d"))))
+    docs = changes.select(*keys, each.alias("x")).select(*keys, F.col("x.s").alias("__side"), F.col("x.d").alias("doc"))
+    lines = price_lines(docs.filter(~V.is_blank(F.col("doc"))), "doc", [*keys, "__side"])
+    known = _compare_sides(lines.withColumn("__key", F.struct(*keys)), "__key", line, "position", True).select(
+        *[F.col(f"__key.{k}").alias(k) for k in keys], "verdict"
+    )
     judged = changes.join(known, list(keys), "left").withColumn("verdict", F.coalesce("verdict", F.lit(OPAQUE)))
     opaque_differs = (F.col("verdict") == OPAQUE) & (V.canonical(F.col(before)) != V.canonical(F.col(after)))
     return judged.withColumn("visible", F.col("verdict").isin(AMOUNT, PERIOD)).withColumn(
