@@ -16,16 +16,30 @@ from pyspark.sql import functions as F
 
 from driftmark.session import cut_lineage
 
-PARTS = 1000
+PARTS = 4000
 MIN_ROWS = 1_000_000
-SPLITS = 64
+STEP = 32
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], parts: int = PARTS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """`(keys, __n)` of the keys with more than `1/parts` of the rows; at most `parts` rows."""
+    """`(keys, __n, __pieces)` of the keys with more than `1/parts` of the rows; at most `parts` rows.
+
+    `__pieces` is how many parts' worth of rows a key has; over all heavy keys that is at most
+    `2 * parts`.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
-    return counts.filter((F.col("__n") > min_rows) & (F.col("__n") * parts > total))
+    heavy = counts.filter((F.col("__n") > min_rows) & (F.col("__n") * parts > total))
+    return heavy.withColumn("__pieces", F.ceil(F.col("__n") * parts / total).cast("int"))
+
+
+def _mark(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Broadcast join to a bounded table of keys in which null is a key like any other."""
+    renamed = small.select(*[F.col(k).alias(f"__on_{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__on_{i}"))
+    return df.join(F.broadcast(renamed), same, how).drop(*[f"__on_{i}" for i in range(len(keys))])
 
 
 def lookup_join(
@@ -34,28 +48,33 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "left",
     salt_by: Sequence[str] = (),
-    salts: int = SPLITS,
     parts: int = PARTS,
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """Many-to-one equi-join (`dim` is unique per key) that spreads heavy fact keys over `salts` tasks.
+    """Many-to-one equi-join (`dim` is unique per key) that spreads a heavy fact key over its `__pieces`.
 
-    Only the dimension rows of heavy keys are repeated, at most ``parts * salts`` rows more.
+    Only the dimension rows of heavy keys are repeated, once per piece: at most ``2 * parts`` rows.
     """
     measured = cut_lineage(heavy_keys(fact.select(*keys), keys, parts, min_rows).coalesce(1))
     if measured.isEmpty():
         return fact.join(dim, list(keys), how)
-    heavy = F.broadcast(measured.select(*keys, F.lit(True).alias("__heavy")))
+    heavy = measured.select(*keys, "__pieces")
     spread = [F.col(c) for c in (salt_by or [c for c in fact.columns if c not in keys])]
-    salted_fact = fact.join(heavy, list(keys), "left").withColumn(
+    # A null key meets nothing, so its rows may go anywhere.
+    unmatched = F.lit(False)
+    for k in keys:
+        unmatched = unmatched | F.col(k).isNull()
+    salted_fact = _mark(fact, heavy, keys).withColumn(
         "__salt",
-        F.when(F.col("__heavy"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
+        F.when(
+            F.col("__pieces").isNotNull() | unmatched, F.pmod(F.xxhash64(*spread), F.coalesce("__pieces", F.lit(STEP))).cast("int")
+        ).otherwise(F.lit(0)),
     )
-    salted_dim = dim.join(heavy, list(keys), "left").withColumn(
+    salted_dim = _mark(dim, heavy, keys).withColumn(
         "__salt",
-        F.explode(F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+        F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)),
     )
-    joined = salted_fact.drop("__heavy").join(salted_dim.drop("__heavy"), [*keys, "__salt"], how)
+    joined = salted_fact.drop("__pieces").join(salted_dim.drop("__pieces"), [*keys, "__salt"], how)
     return joined.drop("__salt")
 
 
@@ -63,7 +82,7 @@ class OrderedKeys:
     """Rows of each key in a total order, with heavy keys cut into ordered buckets.
 
     Split points of a heavy key are its rows whose order hash falls on every n-th value, so they
-    are the same on every retry and there are about ``splits`` of them.  `order` has to be unique
+    are the same on every retry and there are about ``__pieces`` of them.  `order` has to be unique
     within a key.  `measure` may give cheaper rows to count keys on, at least as many per key.
     """
 
@@ -74,7 +93,6 @@ class OrderedKeys:
         order: Sequence[str],
         parts: int = PARTS,
         min_rows: int = MIN_ROWS,
-        splits: int = SPLITS,
         measure: DataFrame | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
@@ -86,17 +104,23 @@ class OrderedKeys:
             self.window = Window.partitionBy(*keys).orderBy(*order)
             return
         rank = F.struct(*order)
-        stride = F.ceil(F.col("__n") / splits)
+        stride = F.ceil(F.col("__n") / F.col("__pieces"))
         points = (
-            narrow.join(F.broadcast(heavy), self.keys)
+            _mark(narrow, heavy, keys, "inner")
             .filter(F.pmod(F.xxhash64(*order), stride) == 0)
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_set(rank)).alias("__points"))
         )
-        cuts = cut_lineage(heavy.select(*keys).join(points, self.keys, "left").withColumn("__heavy", F.lit(True)).coalesce(1))
-        before = F.coalesce(F.size(F.filter("__points", lambda p: p < rank)), F.lit(0))
-        marked = df.join(F.broadcast(cuts), self.keys, "left")
-        self.rows = marked.withColumn("__bucket", F.when(F.col("__points").isNotNull(), before).otherwise(0)).drop("__points")
+        coarse = F.filter("__points", lambda p, i: i % STEP == 0).alias("__coarse")
+        cuts = cut_lineage(
+            _mark(heavy.select(*keys), points, keys).select(*keys, "__points", coarse, F.lit(True).alias("__heavy")).coalesce(1)
+        )
+        # Which bucket: first among every STEP-th point, then among the points up to the next of them.
+        passed = F.size(F.filter("__coarse", lambda p: p < rank))
+        start = (passed - 1) * STEP
+        within = F.size(F.filter(F.slice("__points", start + 1, F.lit(STEP)), lambda p: p < rank))
+        bucket = F.when(F.col("__points").isNull() | (passed == 0), 0).otherwise(start + within)
+        self.rows = _mark(df, cuts, keys).withColumn("__bucket", bucket).drop("__points", "__coarse")
         self.window = Window.partitionBy(*keys, "__bucket").orderBy(*order)
 
     def _heavy_rows(self) -> DataFrame:
@@ -118,7 +142,7 @@ class OrderedKeys:
             *self.keys, "__bucket", F.lag("__tail").over(self._between_buckets()).alias("__carried")
         )
         local = self.rows.withColumn(into, F.lag(held).over(self.window))
-        joined = local.join(F.broadcast(carried), [*self.keys, "__bucket"], "left")
+        joined = _mark(local, carried, [*self.keys, "__bucket"])
         return self._clean(joined.withColumn(into, F.coalesce(into, "__carried")).drop("__carried"))
 
     def running_sums(self, amounts: dict[str, Column]) -> DataFrame:
@@ -134,7 +158,7 @@ class OrderedKeys:
             *self.keys, "__bucket", *[F.sum(f"__s_{n}").over(earlier).alias(f"__o_{n}") for n in amounts]
         )
         local = self.rows.select("*", *[F.sum(a).over(frame).alias(n) for n, a in amounts.items()])
-        joined = local.join(F.broadcast(offsets), [*self.keys, "__bucket"], "left")
+        joined = _mark(local, offsets, [*self.keys, "__bucket"])
         for name in amounts:
             joined = joined.withColumn(name, F.col(name) + F.coalesce(f"__o_{name}", F.lit(0)))
         return self._clean(joined.drop(*[f"__o_{n}" for n in amounts]))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.operators.skew import OrderedKeys
+from driftmark.operators.skew import OrderedKeys, lookup_join
 
 
 def consecutive_versions(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], **skew) -> DataFrame:
@@ -34,7 +34,8 @@ def nearest_version(
 
     Two neighbouring marks bound a stretch of time, and an event only has to choose between the
     two.  Stretches are laid out over fixed time buckets and events join on their bucket: an
-    equi-join in which an event meets only the few stretches of its own bucket.  Events outside
+    equi-join in which an event meets only the few stretches of its own bucket, and a bucket with
+    very many events is spread.  Events outside
     the marks' span are moved to its edge for the lookup, which leaves the nearest mark the same.
     """
     points = marks.groupBy(F.unix_micros(F.col(mark_ts).cast("timestamp")).alias("__hi")).agg(F.min(mark_id).alias("__id"))
@@ -49,7 +50,7 @@ def nearest_version(
     low, high = span.select("lo").scalar(), span.select("hi").scalar()
     at = F.when(F.col(ts).isNotNull(), F.least(F.greatest(F.unix_micros(F.col(ts).cast("timestamp")), low), high))
     placed = events.withColumn("__at", at).withColumn("__slot", F.floor(F.col("__at") / width))
-    met = placed.join(slots, "__slot", "left").filter(
+    met = lookup_join(placed, slots, ["__slot"], "left", salt_by=events.columns).filter(
         F.col("__lo").isNull() | F.col("__at").between(F.col("__lo"), F.col("__hi"))
     )
     earlier = (F.col("__at") - F.col("__prev.__hi")) <= (F.col("__hi") - F.col("__at"))

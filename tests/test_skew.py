@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 from driftmark.operators.skew import OrderedKeys, expand_copies, heavy_keys, lookup_join
 from driftmark.operators.versions import nearest_version
 
-HEAVY = {"min_rows": 10, "parts": 50, "splits": 7}
+HEAVY = {"min_rows": 10, "parts": 200}
 
 
 @pytest.fixture(scope="module")
 def skewed(spark):
-    """A third of the rows belongs to key 0."""
+    """A third of the rows belongs to key 0, a sixth to null."""
     rnd = random.Random(3)
-    rows = [(0 if n % 3 == 0 else rnd.randint(1, 200), n, rnd.choice("abcdef")) for n in range(3000)]
+    rows = [({0: 0, 1: None, 3: 0}.get(n % 6, rnd.randint(1, 200)), n, rnd.choice("abcdef")) for n in range(3000)]
     rnd.shuffle(rows)
     return spark.createDataFrame(rows, "k int, at int, v string").repartition(8).persist()
 
 
 def test_heavy_keys_are_bounded(skewed):
     found = heavy_keys(skewed, ["k"], parts=50, min_rows=10).collect()
-    assert [r.k for r in found] == [0]
+    assert {r.k for r in found} == {0, None}
 
 
 def test_lag_over_split_keys(skewed):
@@ -37,7 +37,7 @@ def test_lag_over_split_keys(skewed):
 def test_split_keys_really_use_several_buckets(skewed):
     rows = OrderedKeys(skewed, ["k"], ["at"], **HEAVY).rows
     sizes = [r["count"] for r in rows.filter("k = 0").groupBy("__bucket").count().collect()]
-    assert len(sizes) > 3 and max(sizes) < 1000
+    assert len(sizes) > 40 and max(sizes) < 200
 
 
 def test_positions_and_running_sums(skewed):
@@ -52,7 +52,7 @@ def test_positions_and_running_sums(skewed):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_join(spark, skewed, how):
     dim = spark.createDataFrame([(k, f"name{k}") for k in range(0, 150)], "k int, name string")
-    got = lookup_join(skewed, dim, ["k"], how, salt_by=["at"], salts=5, parts=50, min_rows=10)
+    got = lookup_join(skewed, dim, ["k"], how, salt_by=["at"], parts=50, min_rows=10)
     assert sorted(map(tuple, got.select("k", "at", "name").collect()), key=repr) == sorted(
         map(tuple, skewed.join(dim, "k", how).select("k", "at", "name").collect()), key=repr
     )
@@ -67,7 +67,7 @@ def test_expand_copies(spark):
     assert counts == {"a": (3, 1, 3, 3), "c": (10_000, 1, 10_000, 10_000)}
 
 
-@pytest.mark.parametrize("skew", [{}, {"min_rows": 3, "parts": 50, "splits": 4}])
+@pytest.mark.parametrize("skew", [{}, {"min_rows": 3, "parts": 50}])
 def test_nearest_version_by_brute_force(spark, skew):
     rnd = random.Random(11)
     marks = [(rnd.randint(0, 10**6), f"s{i:02d}") for i in range(25)]
