@@ -67,7 +67,7 @@ def validity(start: Column, end: Column) -> Column:
 
 
 def update_notice(last_updated: Column, timezone: str = presets.DISPLAY_TIMEZONE) -> Column:
-    """Notice phrase; the zone is explicit where it used to be the host's."""
+    """Notice phrase in local time of an explicit zone."""
     local = local_time(parse_time(last_updated), timezone)
     phrase = F.format_string(
         presets.UPDATE_NOTICE, F.date_format(local, "dd.MM.yyyy"), F.date_format(local, "HH:mm")

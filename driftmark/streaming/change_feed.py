@@ -1,6 +1,6 @@
 """The change feed over a stream of arriving entity versions.
 
-The monitor used to poll; here arriving data drives it, in one of two modes.
+Arriving data drives it instead of a schedule, in one of two modes.
 
 *Versions*: each micro-batch of version rows is compared with the last known version of its
 entities; transitions and new last versions are written under the batch id, so a batch that is run
