@@ -33,6 +33,8 @@ def oracle():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, oracle, name):
     df = entry.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     got = [tuple(r) for r in df.collect()]
     if name not in entry.oracle_sql():
         assert got
