@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftmark.llm import packing, token_files
+from driftmark.llm import exact_dedup, line_dedup, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,17 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(_table(spark, folder, "documents"))
 
 
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of equal texts of every document."""
+    return exact_dedup.exact_groups(_table(spark, folder, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that each document loses to earlier documents or lines, and what is left of its text."""
+    found = line_dedup.drop_repeated_lines(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack(_table(spark, folder, "documents"))
@@ -27,7 +39,49 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": r"""
+        WITH n AS (
+            SELECT doc_id, coalesce(length(text), 0) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+            FROM documents
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+        FROM (
+            SELECT doc_id, sha256(norm) AS text_sha256, count(*) OVER (PARTITION BY norm) AS group_size,
+                first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id
+            FROM n
+        )
+    """,
+    "op7_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, line_no, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS flat
+            FROM (
+                SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
+                FROM documents WHERE text IS NOT NULL
+            )
+        ),
+        first_of AS (SELECT flat, min((doc_id, line_no)) AS place, string_split(flat, ' ') AS words FROM lines WHERE flat <> '' GROUP BY flat),
+        long_ones AS (SELECT flat, place, words, len(words) AS n FROM first_of WHERE len(words) >= 5),
+        variants AS (
+            SELECT place, n, pos, array_to_string(words[1 : pos - 1] || words[pos + 1 :], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM long_ones)
+        ),
+        near AS (
+            SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY rest, pos, n) AS first FROM variants) WHERE first < place
+            UNION
+            SELECT greatest(v.place, l.place) FROM variants v JOIN long_ones l ON v.rest = l.flat
+        ),
+        judged AS (
+            SELECT l.doc_id, l.line_no, l.line, l.flat <> '' AND f.place < (l.doc_id, l.line_no) AS equal, l.flat <> '' AND f.place = (l.doc_id, l.line_no) AND n.place IS NOT NULL AS near
+            FROM lines l LEFT JOIN first_of f ON f.flat = l.flat LEFT JOIN near n ON n.place = f.place
+        )
+        SELECT doc_id, sum(coalesce(equal, false)::int)::bigint AS n_equal, sum(coalesce(near, false)::int)::bigint AS n_near,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(equal, false) AND NOT coalesce(near, false)), '')) AS text_sha256
+        FROM judged GROUP BY doc_id
+    """,
+}

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Lower-case letters that normalising leaves as they are, then ASCII marks: one or two pieces for the vocabulary's rules.
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-SLICE_BYTES = 8 << 20  # text handled at once
-CACHE_SEGMENTS = 1_000_000  # remembered segments per Python worker; beyond it memory starts anew
+SLICE_BYTES = 3 << 20  # text handled at once
+CACHE_SEGMENTS = 400_000  # remembered segments per Python worker; beyond it memory starts anew
 
 
 def default_path() -> str:
@@ -170,3 +170,4 @@ def encoded_texts(batches: Iterable[pa.RecordBatch], path: str | None = None, en
             keep[ends - 1] = False
             out[keep], out[ends - 1] = ids, end_id
             yield batch.slice(a, b - a), np.split(out, ends[:-1])
+        pa.default_memory_pool().release_unused()
