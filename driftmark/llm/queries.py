@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import exact_dedup, line_dedup, packing, token_files
+from driftmark.llm import exact_dedup, line_dedup, packing, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,11 +37,18 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_groups(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {

@@ -19,7 +19,7 @@ END_ID = 2
 #: Lower-case letters that normalising leaves as they are, then ASCII marks: one or two pieces for the vocabulary's rules.
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 SLICE_BYTES = 3 << 20  # text handled at once
-CACHE_SEGMENTS = 400_000  # remembered segments per Python worker; beyond it memory starts anew
+CACHE_SEGMENTS = 500_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
 
 
 def default_path() -> str:
@@ -59,17 +59,30 @@ class SegmentEncoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Forget the stems that were met least often."""
+        n = len(self.slots)
+        kept = np.flatnonzero(self.hits[:n] > np.median(self.hits[:n]))
+        stems = list(self.slots)
+        stems = [stems[i] for i in kept]
+        ids, sizes, hits = self.ids[_ranges(self.starts[kept], self.sizes[kept])], self.sizes[kept], self.hits[kept]
+        self.forget()
+        self._add(stems, ids, sizes)
+        self.hits[: len(kept)] = hits // 2
+
     def _add(self, stems: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, n = len(self.slots), len(self.slots) + len(stems)
         while n > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            self.starts, self.sizes, self.hits = (np.resize(x, 2 * len(x)) for x in (self.starts, self.sizes, self.hits))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
         self.sizes[first:n] = sizes
         self.starts[first:n] = self.used + np.cumsum(sizes) - sizes
+        self.hits[first:n] = 0
         self.used += len(ids)
         self.slots.update(zip(stems, range(first, n)))
 
@@ -107,12 +120,14 @@ class SegmentEncoder:
         stemmed = pa.concat_arrays([words, cut]).take(pa.array(which)).dictionary_encode()
         stems = stemmed.dictionary.to_pylist()
         if len(self.slots) + len(stems) > self.cache_segments:
-            self.forget()
+            self._shrink()
         get = self.slots.get
         missing = [w for w in stems if get(w) is None]
         if missing:
             self._learn(missing)
-        slot = np.fromiter(map(self.slots.__getitem__, stems), np.int64, len(stems))[stemmed.indices.to_numpy()]
+        slot = np.fromiter(map(self.slots.__getitem__, stems), np.int64, len(stems))
+        self.hits[slot] += 1
+        slot = slot[stemmed.indices.to_numpy()]
         stem_sizes = self.sizes[slot]
         sizes = stem_sizes + marked
         starts = np.cumsum(sizes) - sizes
