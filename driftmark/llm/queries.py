@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import exact_dedup, line_dedup, packing, simhash, token_files
+from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,18 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    docs = _table(spark, folder, "documents")
+    profiles = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.predicted(docs, profiles, "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items with a passage in a document, for all documents."""
+    return decontaminate.passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that each document loses to earlier documents or lines, and what is left of its text."""
     found = line_dedup.drop_repeated_lines(_table(spark, folder, "documents"))
@@ -46,6 +58,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,
