@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, token_files
+from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that lie in a string of 200 bytes found elsewhere."""
+    return suffix_dedup.drop_repeated_bytes(_table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_groups(_table(spark, folder, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_suffix_array": op9_suffix_array,
     "op10_simhash": op10_simhash,
 }
 
