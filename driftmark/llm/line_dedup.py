@@ -102,18 +102,19 @@ def _same_but_one(x: Column, y: Column, pos: Column, replaced: Column) -> Column
     return less(x) == F.when(replaced, less(y)).otherwise(y)
 
 
-def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Places (at) of the lines of distinct (at, halves) that have an earlier near line."""
-    halves = distinct.filter("halves is not null").select("at", F.explode("halves").alias("half"))
-    common = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
-    candidates = halves.join(common, "half", "left_semi").select("at").distinct()
+def near_lines(texts: DataFrame, keys: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Places (at) of the lines of distinct (at, h1, h2) that have an earlier near line; keys has all lines' halves."""
+    halves = keys.filter("halves is not null").select("h1", F.explode("halves").alias("half"))
+    common = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low != high").select("half")
+    wanted = halves.join(common, "half", "left_semi").select("h1").distinct()
+    candidates = distinct.join(wanted, "h1", "left_semi").select("at")
     wanted = candidates.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")).agg(F.collect_set("at.line_no").alias("wanted"))
     lines = texts.join(wanted, ["doc_id", "row"]).select("doc_id", "row", F.explode("wanted").alias("line_no"), F.split("text", "\n", -1).alias("lines"))
     lines = lines.select(F.struct("doc_id", "line_no", "row").alias("at"), F.split(_collapsed(F.get("lines", "line_no")), " ").alias("words"))
     lines = stored(lines.groupBy("at").agg(F.any_value("words").alias("words")), "candidate-lines")
 
     variants = _variants(lines)
-    several = variants.groupBy("a", "b", "n").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least < most").select("a", "b", "n")
+    several = variants.groupBy("a", "b", "n").count().filter("count > 1").select("a", "b", "n")
     active = stored(variants.join(several, ["a", "b", "n"], "left_semi"), "line-variants")
     key = ["a", "b", "n"]
     less = active.filter("pos > 0")
@@ -139,11 +140,11 @@ def near_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(at, near) of the lines of docs (doc_id, row, text) that go."""
     keys = stored(line_keys(docs), "line-keys")
-    distinct = keys.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
+    distinct = keys.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"))
     distinct = stored(distinct, "distinct-lines")
     copied = distinct.filter("copies > 1").select("h1", "h2", F.col("at").alias("first"))
     equal = keys.join(copied, ["h1", "h2"]).filter("at != first").select("at", F.lit(False).alias("near"))
-    return equal.unionByName(near_lines(docs, distinct).withColumn("near", F.lit(True)))
+    return equal.unionByName(near_lines(docs, keys, distinct).withColumn("near", F.lit(True)))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -155,11 +156,11 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     compared and stay whole. An empty table gives no rows. Other columns are kept, save n_equal and n_near.
     """
     text = F.col("text").cast("string")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).filter("doc_id is not null and text is not null")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("row"), text.alias("text")).filter("doc_id is not null and text is not null")
     gone = repeated_lines(known).groupBy(F.col("at.doc_id").alias("__doc_id"), F.col("at.row").alias("__row")).agg(
         F.collect_set("at.line_no").alias("__gone"), F.count_if(~F.col("near")).alias("__equal"), F.count_if("near").alias("__near")
     )
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.xxhash64(text) == F.col("__row")), "left")
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.hash(text) == F.col("__row")), "left")
     lines = F.split(text, "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     columns = [c for c in docs.columns if c not in ("text", "n_equal", "n_near")]
