@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, suffix_dedup, token_files
+from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, suffix_dedup, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,13 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of those that are not held out."""
+    docs = _table(spark, folder, "documents")
+    model = toxicity.learn(toxicity.teachable(docs), toxicity.teachable(_table(spark, folder, "labels")))
+    return toxicity.scored(docs, model, "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that each document loses to earlier documents or lines, and what is left of its text."""
     found = line_dedup.drop_repeated_lines(_table(spark, folder, "documents"))
@@ -65,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_suffix_array": op9_suffix_array,
