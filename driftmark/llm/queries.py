@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, suffix_dedup, token_files, toxicity
+from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, pii, simhash, suffix_dedup, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,12 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = _table(spark, folder, "documents")
+    return pii.personal_data(docs, pii.learn(docs))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     docs = _table(spark, folder, "documents")
@@ -70,6 +76,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_personal_data": op3_personal_data,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
