@@ -134,13 +134,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _accept(batches: Iterable[pa.RecordBatch], profiles: Profiles, least_score: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [predict(t, profiles) for t in batch.column("text").cast(pa.string()).to_pylist()]
+        yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+
 def accepted(docs: DataFrame, least_score: float) -> DataFrame:
     """docs without the rows whose language can't be told: no letter, or a score under least_score.
 
-    Profiles are learned from docs' own lang values. All columns are kept, whatever their names.
+    Profiles are learned from docs' own lang values; if there are none, all rows stay. All columns are kept.
     """
     profiles = learn(docs.filter(~held_out(F.col("doc_id"))))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = predicted(docs, profiles, *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
-    stay = rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)) if profiles.langs else rows
-    return stay.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
+    return docs.mapInArrow(partial(_accept, profiles=profiles, least_score=least_score), docs.schema) if profiles.langs else docs

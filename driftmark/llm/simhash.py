@@ -27,36 +27,46 @@ RADIUS = 3
 WORDS = 3  # of a shingle
 SEED = 42
 TILE = 2048  # fingerprints of a tile
+COPY_WORDS, COPY_WIDTH, COPY_SIMILARITY = 5, 4, 0.8
+COPY_TILE = 8192
 BUCKET = 256  # fingerprints a bucket should hold on average, at most
 SHINGLES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64 bits as a signed number; bits are set that over half the shingles' hashes have."""
+def fingerprint(text: str | None, words: int = WORDS, width: int = 1) -> tuple[list[int], int]:
+    """width times 64 bits as signed numbers, and the number of shingles; bits are set that over half the hashes have.
+
+    The first 64 bits come from XXH64 of the shingles, the others from remixing it.
+    """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space alone
     if not found:
-        return 0
+        return [0] * width, 0
     flat = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
     starts, ends = starts[:n].tolist(), ends[len(found) - n :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((width, 64), np.int64)
     for i in range(0, n, SHINGLES_AT_ONCE):
         hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES_AT_ONCE], ends[i : i + SHINGLES_AT_ONCE])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        for w in range(width):
+            counts[w] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist(), n
 
 
-def _fingerprints(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterable[pa.RecordBatch], words: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprint(t.as_py(), words) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        found = [fingerprint(t.as_py(), words, width) for t in batch.column("text")]
+        columns = [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "bits", "n"])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of each row's whole text; a text without words, null too, has fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_fingerprints, words=words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = WORDS, width: int = 1) -> DataFrame:
+    """(doc_id, bits, n) of each row's whole text; a text without words, null too, has bits zero and no shingles."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(partial(_fingerprints, words=words, width=width), "doc_id long, bits array<long>, n long")
 
 
 def masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -88,85 +98,101 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[tied], nodes[root[tied]]
 
 
-def _links(fp: np.ndarray, side: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the groups (rows of a group are together). side: 0 and 1 are compared with each other, 2 with itself."""
-    bits = fp.view(np.uint64)
+def _links(node: np.ndarray, bits: np.ndarray, side: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes of a group (whose rows are together) by their bits (rows, width).
+
+    Sides 0 and 1 are compared with each other, side 2 with itself.
+    """
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    sizes = np.diff(np.append(starts, len(fp)))
-    ones = np.bitwise_count(bits).astype(np.int16)
+    sizes = np.diff(np.append(starts, len(node)))
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int16)
     found = []
     small = np.repeat(sizes <= 32, sizes) & (side == 2)
-    left = np.repeat(sizes, sizes) - (np.arange(len(fp)) - np.repeat(starts, sizes))  # rows from here to the group's end
+    left = np.repeat(sizes, sizes) - (np.arange(len(node)) - np.repeat(starts, sizes))  # rows from here to the group's end
     for step in range(1, int(sizes[sizes <= 32].max(initial=1))):
         at = np.flatnonzero(small & (left > step))
-        near = np.bitwise_count(bits[at] ^ bits[at + step]) <= radius
-        found.append((fp[at[near]], fp[at[near] + step]))
+        near = np.bitwise_count(bits[at] ^ bits[at + step]).sum(1, dtype=np.int16) <= radius
+        found.append((node[at[near]], node[at[near] + step]))
     for s, n in zip(starts, sizes):
         if n <= 32 and side[s] == 2:
             continue
         rows = np.arange(s, s + n)
         x, y = (rows, rows) if side[s] == 2 else (rows[side[rows] == 0], rows[side[rows] == 1])
         x, y = x[np.argsort(ones[x], kind="stable")], y[np.argsort(ones[y], kind="stable")]
-        for i in range(0, len(x), 256):
-            a = x[i : i + 256]
+        for i in range(0, len(x), 128):
+            a = x[i : i + 128]
             low, high = np.searchsorted(ones[y], ones[a[0]] - radius), np.searchsorted(ones[y], ones[a[-1]] + radius, "right")
             b = y[low:high]
-            p, q = np.nonzero(np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]) <= radius)
-            keep = a[p] != b[q]
-            found.append(_forest(fp[a[p[keep]]], fp[b[q[keep]]]))
-    a, b = (np.concatenate(c) for c in zip(*found)) if found else (fp[:0], fp[:0])
+            apart = np.bitwise_count(bits[a, 0][:, None] ^ bits[b, 0][None, :])
+            if bits.shape[1] > 1:  # two words tell almost all pairs apart; the others are counted whole
+                apart += np.bitwise_count(bits[a, 1][:, None] ^ bits[b, 1][None, :])
+            p, q = np.nonzero(apart <= radius)
+            if bits.shape[1] > 1:
+                keep = np.bitwise_count(bits[a[p]] ^ bits[b[q]]).sum(1, dtype=np.int16) <= radius
+                p, q = p[keep], q[keep]
+            keep = node[a[p]] != node[b[q]]
+            found.append(_forest(node[a[p[keep]]], node[b[q[keep]]]))
+    a, b = (np.concatenate(c) for c in zip(*found)) if found else (node[:0], node[:0])
     return _forest(a, b)
 
 
 def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; a group that goes on in the next batch waits for it."""
+    """Rows come sorted by tile; a tile that goes on in the next batch waits for it."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def result() -> pa.RecordBatch:
-        fp, side, group = (np.concatenate(c) for c in zip(*held))
-        a, b = _links(fp, side, group, radius)
+        a, b = _links(*(np.concatenate(c) for c in zip(*held)), radius)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        fp, side, group = (batch.column(c).to_numpy() for c in ("fp", "side", "tile"))
-        cut = int(np.searchsorted(group, group[-1])) if (np.diff(group) >= 0).all() else 0
-        if cut or held and held[-1][2][-1] != group[0]:
-            held.append((fp[:cut], side[:cut], group[:cut]))
+        bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        node, side, tile = (batch.column(c).to_numpy() for c in ("node", "side", "tile"))
+        cut = int(np.searchsorted(tile, tile[-1]))
+        if cut or held and held[-1][3][-1] != tile[0]:
+            held.append((node[:cut], bits[:cut], side[:cut], tile[:cut]))
             yield result()
             held = []
-        held.append((fp[cut:], side[cut:], group[cut:]))
+        held.append((node[cut:], bits[cut:], side[cut:], tile[cut:]))
     if held:
         yield result()
 
 
-def _tiles(distinct: DataFrame, radius: int) -> DataFrame:
-    """(tile, side, fp): the rows of each tile pair, tiles named by 64 bits."""
-    many = masks(distinct.count(), radius)
-    keyed = distinct.select("fp", F.bit_count("fp").cast("int").alias("ones"), F.explode(F.array(*(F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(many)))).alias("k"))
-    keyed = keyed.select("fp", "ones", "k.way", "k.bits")
-    counts = keyed.groupBy("way", "bits", "ones").count()
-    held = counts.groupBy("way", "bits").agg(F.sum("count").alias("rows"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("count") / TILE).cast("int")))).alias("tiles")).filter("rows > 1")
-    joined = keyed.join(held, ["way", "bits"])
+def _tile_pairs(rows: DataFrame, group: list[str], cell: str, reach: int, most: int) -> DataFrame:
+    """(tile, side, node, bits): rows (node, bits, group columns, cell) dealt to tiles of about most rows.
+
+    A group of up to most rows is one tile. Of a larger one, each cell is dealt to tiles by hash, and tiles
+    are paired if their cells differ by reach at most.
+    """
+    counts = rows.groupBy(*group, cell).count()
+    tiles = F.map_from_entries(F.collect_list(F.struct(cell, F.ceil(F.col("count") / most).cast("int"))))
+    joined = rows.join(counts.groupBy(*group).agg(F.sum("count").alias("rows"), tiles.alias("tiles")).filter("rows > 1"), group)
 
     def named(*parts: Column) -> Column:
-        return F.xxhash64("way", "bits", *parts)
+        return F.xxhash64(*group, *parts)
 
-    whole = joined.filter(F.col("rows") <= TILE).select(named().alias("tile"), F.lit(2).alias("side"), "fp")
-    own = F.pmod(F.xxhash64("fp"), F.get(F.array(F.try_element_at("tiles", "ones")), F.lit(0))).cast("int")
-    large = joined.filter(F.col("rows") > TILE).withColumn("own", own)
-    others = large.select("*", F.explode(F.filter(F.map_entries("tiles"), lambda e: F.abs(e["key"] - F.col("ones")) <= radius)).alias("e"))
+    whole = joined.filter(F.col("rows") <= most).select(named().alias("tile"), F.lit(2).alias("side"), "node", "bits")
+    own = F.pmod(F.xxhash64("node"), F.try_element_at("tiles", F.col(cell))).cast("int")
+    large = joined.filter(F.col("rows") > most).select("*", own.alias("own"))
+    others = large.select("*", F.explode(F.filter(F.map_entries("tiles"), lambda e: F.abs(e["key"] - F.col(cell)) <= reach)).alias("e"))
     others = others.select("*", F.explode(F.sequence(F.lit(0), F.col("e.value") - 1)).alias("other"))
-    me, it = F.struct("ones", "own"), F.struct(F.col("e.key").alias("ones"), F.col("other").alias("own"))
-    parted = others.select(named(F.least(me, it), F.greatest(me, it)).alias("tile"), F.when(me == it, 2).when(me < it, 0).otherwise(1).alias("side"), "fp")
+    me, it = F.struct(F.col(cell).alias("cell"), "own"), F.struct(F.col("e.key").alias("cell"), F.col("other").alias("own"))
+    parted = others.select(named(F.least(me, it), F.greatest(me, it)).alias("tile"), F.when(me == it, 2).when(me < it, 0).otherwise(1).alias("side"), "node", "bits")
     return whole.unionByName(parted)
 
 
+def linked(tiles: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of the nodes that have a link, by components of the links that the tiles hold."""
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile")
+    return components(dealt.mapInArrow(partial(_compare, radius=radius), "a long, b long"))
+
+
 def fingerprint_roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(node, root) of the fingerprints (fp, each once) that have a link, by components of the links."""
-    tiles = _tiles(distinct, radius).repartition("tile").sortWithinPartitions("tile")
-    return components(tiles.mapInArrow(partial(_compare, radius=radius), "a long, b long"))
+    """(node, root) of the fingerprints (fp, each once) that have a link."""
+    ways = F.array(*(F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(distinct.count(), radius))))
+    keyed = distinct.select(F.col("fp").alias("node"), F.array("fp").alias("bits"), F.bit_count("fp").cast("int").alias("ones"), F.explode(ways).alias("w"))
+    return linked(_tile_pairs(keyed.select("node", "bits", "ones", "w.way", "w.key"), ["way", "key"], "ones", radius, TILE), radius)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -176,7 +202,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     fingerprints; a row without doc_id takes part, and its component is null only if no row of it has a doc_id.
     Other columns are not read; an empty table gives no rows. Rows of one fingerprint are one node.
     """
-    prints = stored(fingerprints(docs, words), "fingerprints")
+    prints = stored(fingerprints(docs, words).select("doc_id", F.get("bits", F.lit(0)).alias("fp")), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "distinct-fingerprints")
     roots = fingerprint_roots(nodes.select("fp"), radius)
     tied = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "rows", "root")
@@ -184,3 +210,32 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     several = tied.filter("root is not null or rows > 1").join(firsts, "root", "left").select("fp", F.coalesce("component", "first").alias("component"))
     joined = prints.join(several.withColumn("linked", F.lit(True)), "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def copy_radius(similarity: float = COPY_SIMILARITY, width: int = COPY_WIDTH) -> int:
+    """Bits that differ, at most, between two texts whose estimated similarity of shingles (Jaccard) is reached.
+
+    The share of bits that differ estimates the angle between two shingle vectors; of two sets of equal size and
+    similarity j, its cosine is 2 j / (1 + j).
+    """
+    return int(64 * width * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """docs less all but the smallest doc_id of each group of near copies.
+
+    Two rows are linked if the estimated similarity of their five-word shingles is 0.8 or more, by 256-bit
+    fingerprints. Such rows have numbers of shingles that differ by a quarter at most, so they are tiled by size, and only
+    tiles of neighbouring sizes are compared. Empty and null texts are one group; rows without doc_id always stay;
+    rows that repeat a doc_id stay or go together. All columns are kept; an empty table stays empty.
+    """
+    prints = fingerprints(docs.filter("doc_id is not null"), words, COPY_WIDTH)
+    size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(-np.log(similarity))).cast("int")
+    prints = stored(prints.select("doc_id", "bits", size.alias("size")), "copy-fingerprints")
+    nodes = stored(prints.groupBy("bits", "size").agg(F.min("doc_id").alias("node")), "copy-nodes")
+    # Of two equal texts under one doc_id the node is the same; so is that of two texts of one doc_id and different bits.
+    roots = linked(_tile_pairs(nodes.withColumn("all", F.lit(0)), ["all"], "size", 1, COPY_TILE), copy_radius(similarity))
+    linked_ = roots.filter("node != root").select(F.col("node").alias("doc_id"))
+    same = prints.join(nodes, ["bits", "size"]).filter("doc_id != node").select("doc_id")
+    gone = linked_.unionByName(same).distinct().select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
