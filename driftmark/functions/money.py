@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftmark.functions.text import strip
-
-AMOUNT_IN_TEXT = r"(?i)(\d+(?:[.,]\d{1,2})?)\s*(€|EUR)"
-AMOUNT_WITH_CURRENCY = r"(?i)(\d+(?:[.,]\d+)?)\s*([A-Z]{3}|€)"
+from driftmark.presets import AMOUNT_IN_TEXT, AMOUNT_WITH_CURRENCY
 
 
 def amount_text(value: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 MAP = "map<string,variant>"
 LIST = "array<variant>"
+# A JSON string, which stays, or a number written with a fraction of zero; strings are matched first, so their content is safe.
+WHOLE_NUMBER = r'("(?:[^"\\]++|\\.)*+")|(-?\d+)\.0(?=[,\]}]|$)'
+NO_BRACKETS = r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++'
 
 
 def as_object(doc: Column) -> Column:
@@ -33,8 +36,29 @@ def is_blank(doc: Column) -> Column:
 
 
 def canonical(doc: Column) -> Column:
-    """Text that is equal for equal documents: keys sorted, `1.0` as `1`, list order kept."""
-    return F.when(is_blank(doc), F.lit("null")).otherwise(F.to_json(doc))
+    """Text that is equal for equal documents: keys sorted, `1.0` and `1e0` as `1`, list order kept."""
+    whole = let(F.to_json(doc), lambda t: F.when(F.contains(t, F.lit(".0")), F.regexp_replace(t, WHOLE_NUMBER, "$1$2")).otherwise(t))
+    return F.when(is_blank(doc), F.lit("null")).otherwise(whole)
+
+
+def depth(doc: Column) -> Column:
+    """How many objects and lists lie in one another, at most; 0 for anything else."""
+    brackets = F.split(F.regexp_replace(F.to_json(doc), NO_BRACKETS, ""), "")
+    seen = F.aggregate(
+        brackets,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, c: let(
+            a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0),
+            lambda now: F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most")),
+        ),
+        lambda a: a["most"],
+    )
+    return F.coalesce(F.when(~is_blank(doc), seen), F.lit(0))
+
+
+def measured_depth(df: DataFrame, *docs: str) -> int:
+    """The depth of the deepest document in the columns; one aggregate over df, one number to the driver."""
+    return df.agg(F.max(F.greatest(*[depth(F.col(d)) for d in docs], F.lit(0)))).first()[0] or 0
 
 
 def at(doc: Column, path: str, kind: str = "string") -> Column:
@@ -64,25 +88,21 @@ def _parts(doc: Column) -> Column:
     return F.coalesce(items, F.map_entries(as_object(doc)))
 
 
-def _too_deep(doc: Column, scalar: Column, name: str) -> Column:
-    return F.when(_parts(doc).isNotNull(), F.raise_error(F.lit(f"value nested deeper than {name}(depth)"))).otherwise(scalar)
-
-
-def display_value(doc: Column, depth: int = 6) -> Column:
+def display_value(doc: Column, levels: int = 12) -> Column:
     """Display text in which the order of list items does not matter.
 
-    Values nested deeper than `depth` stop the job rather than compare inexactly.
+    What lies deeper than `levels` is shown as canonical JSON, in which it does.
     """
     scalar = (
         F.when(is_blank(doc), F.lit("None"))
         .when(F.schema_of_variant(doc) == "BOOLEAN", F.initcap(doc.try_cast("string")))
         .otherwise(F.trim(F.regexp_replace(doc.try_cast("string"), r"(?U)[\s\x1c-\x1f]+", " ")))
     )
-    if depth == 0:
-        return _too_deep(doc, scalar, "display_value")
+    if levels == 0:
+        return F.when(_parts(doc).isNotNull(), canonical(doc)).otherwise(scalar)
     shown = F.transform(
         F.filter(_parts(doc), lambda m: m["key"].isNull() | ~is_blank(m["value"])),
-        lambda m: F.concat(F.coalesce(F.concat(m["key"], F.lit(":")), F.lit("")), display_value(m["value"], depth - 1)),
+        lambda m: F.concat(F.coalesce(F.concat(m["key"], F.lit(":")), F.lit("")), display_value(m["value"], levels - 1)),
     )
     listed = as_list(doc).isNotNull()
     text = let(shown, lambda p: F.array_join(F.when(listed, F.array_sort(p)).otherwise(p), "\n"))
@@ -93,16 +113,16 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
-def json_text(doc: Column, depth: int = 8) -> Column:
-    """JSON with sorted keys and a blank after `,` and `:`, the form values take in summaries."""
+def json_text(doc: Column, levels: int = 12) -> Column:
+    """JSON with sorted keys and a blank after `,` and `:`, the form values take in summaries; without blanks below `levels`."""
     scalar = F.when(is_blank(doc), F.lit("null")).otherwise(F.to_json(doc))
-    if depth == 0:
-        return _too_deep(doc, scalar, "json_text")
+    if levels == 0:
+        return scalar
     parts = F.transform(
         _parts(doc),
         lambda m: F.concat(
             F.coalesce(F.concat(F.lit('"'), _escaped(m["key"]), F.lit('": ')), F.lit("")),
-            json_text(m["value"], depth - 1),
+            json_text(m["value"], levels - 1),
         ),
     )
     listed, keyed = as_list(doc).isNotNull(), as_object(doc).isNotNull()
@@ -110,12 +130,15 @@ def json_text(doc: Column, depth: int = 8) -> Column:
     return F.when(listed | keyed, F.concat(opening, F.array_join(parts, ", "), closing)).otherwise(scalar)
 
 
-def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False) -> DataFrame:
+def walk(df: DataFrame, doc: str, max_depth: int | None = None, leaves_only: bool = False) -> DataFrame:
     """One row per node: `path array<string>`, `node_pos array<int>` (sort by it for document order), `node`.
 
     A chain of narrow generators, one per level, so no level is evaluated twice and nothing is
-    shuffled.  Documents deeper than `max_depth` stop the job instead of losing nodes.
+    shuffled.  There are as many levels as the deepest document has, measured first by one aggregate; with
+    a `max_depth` of the caller's, deeper documents stop the job instead of losing nodes.
     """
+    if max_depth is None:
+        max_depth = measured_depth(df, doc)
     keep = [c for c in df.columns if c != doc]
     rows = df.select(
         *keep,
@@ -156,7 +179,7 @@ def walk(df: DataFrame, doc: str, max_depth: int = 12, leaves_only: bool = False
     return rows.filter(guard).drop("__open")
 
 
-def text_leaves(df: DataFrame, doc: str, max_depth: int = 12) -> DataFrame:
+def text_leaves(df: DataFrame, doc: str, max_depth: int | None = None) -> DataFrame:
     """String leaves with their path: the `path`, `node_pos` and `text` of each."""
     rows = walk(df, doc, max_depth, leaves_only=True)
     return rows.withColumn("text", as_text(F.col("node"))).filter(F.col("text").isNotNull()).drop("node")

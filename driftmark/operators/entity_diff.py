@@ -16,10 +16,11 @@ ADDED, REMOVED, CHANGED, UNCHANGED = "added", "removed", "changed", "unchanged"
 def fingerprint(columns: Sequence[str]) -> Column:
     """96 hash bits over the columns; equal rows have equal fingerprints.
 
-    Two independent hashes are compared, so the chance that a changed entity is taken for an
-    unchanged one is 2^-96.
+    The hashes skip nulls, so they are taken of a text that names each column with its value; a value that
+    moves from one column to another changes it.  Two independent hashes are compared, so the chance
+    that a changed entity is taken for an unchanged one is 2^-96.
     """
-    values = [F.struct(*columns)]
+    values = [F.to_json(F.struct(*columns))]
     return F.struct(F.xxhash64(*values).alias("h64"), F.hash(*values).alias("h32"))
 
 
@@ -94,15 +95,18 @@ def ignored_path(path: Column, profile: Profile = DEFAULT) -> Column:
 
 
 def document_changes(
-    df: DataFrame, before: str = "before", after: str = "after", profile: Profile = DEFAULT, max_depth: int = 8
+    df: DataFrame, before: str = "before", after: str = "after", profile: Profile = DEFAULT, max_depth: int | None = None
 ) -> DataFrame:
     """Recursive field changes of two VARIANT columns: all other columns, `path`, `field`, `before`, `after`.
 
     Objects are compared member by member; a member on one side only is one change with its whole
     subtree; lists and everything else are compared as a whole.  The descent is a chain of
     generators over the row itself, so it shuffles nothing and ends early where subtrees are equal.
-    Differing objects below `max_depth` levels stop the job.
+    There are as many levels as the documents have, measured first by one aggregate; with a `max_depth` of
+    the caller's, differing objects below it stop the job.
     """
+    if max_depth is None:
+        max_depth = V.measured_depth(df, before, after)
     keep = [c for c in df.columns if c not in (before, after)]
     differs = V.canonical(F.col(before)) != V.canonical(F.col(after))
     rows = df.filter(differs).select(

@@ -245,7 +245,7 @@ def build_change_events(
     current_ts: str,
     detected_at: str,
     profile: Profile = DEFAULT,
-    max_depth: int = 8,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Events of two snapshots given as `(entity_id, before VARIANT, after VARIANT)` pairs.
 
@@ -288,11 +288,15 @@ def drop_misplaced_text(changes: DataFrame, profile: Profile = DEFAULT) -> DataF
 
 
 def drop_reordered_prices(changes: DataFrame) -> DataFrame:
-    """Drop price changes that differ in the order of their periods only."""
+    """Drop price changes that differ in the order of their periods only.
+
+    `price_visible` tells of the others whether the feed shows them; it is null for all other changes.
+    """
     prices = changes.filter(F.col("change_type") == presets.PRICE)
     judged = P.price_document_verdicts(prices, ["__key", "field"]).filter("semantic")
     rest = changes.filter(F.col("change_type") != presets.PRICE)
-    return rest.unionByName(judged.select(*rest.columns))
+    visible = F.lit(None).cast("boolean").alias("price_visible")
+    return rest.select("*", visible).unionByName(judged.select(*rest.columns, F.col("visible").alias("price_visible")))
 
 
 def enrich_events(changes: DataFrame, previous_ts: str, current_ts: str, detected_at: str, profile: Profile = DEFAULT) -> DataFrame:
@@ -318,6 +322,7 @@ def enrich_events(changes: DataFrame, previous_ts: str, current_ts: str, detecte
         "field",
         "before",
         "after",
+        F.col("price_visible") if "price_visible" in diffed.columns else F.lit(None).cast("boolean").alias("price_visible"),
         F.lit(previous_ts).alias("previous_snapshot_ts"),
         F.lit(current_ts).alias("current_snapshot_ts"),
         "word_diff",
@@ -379,10 +384,22 @@ def unify_event_names(raw: DataFrame, event: str = "event") -> DataFrame:
         by_presence(legacy["before"], "before_value").alias("before"),
         by_presence(legacy["after"], "after_value").alias("after"),
         V.member(doc, "word_diff").try_cast(W.TOKENS).alias("word_diff"),
+        V.member(doc, "price_visible").try_cast("boolean").alias("price_visible"),
         *[flag(n) for n in FLAGS],
     )
 
 
+def in_sequence(events: DataFrame) -> DataFrame:
+    """The events with `seq`, the order the feed breaks ties by: time, then entity, field and values.
+
+    The number comes from a range sort and a count per partition; equal events may swap places, which changes nothing.
+    """
+    order = [F.col(c) for c in ("detected_at", "entity_id", "entity_name", "field")]
+    value = [F.xxhash64(event_value_text(events, c)) for c in ("before", "after")]
+    placed = cut_lineage(events.withColumn("__value", F.struct(*value)).orderBy(*order, "__value"))
+    return placed.withColumn("seq", F.monotonically_increasing_id()).drop("__value")
+
+
 def legacy_events(events: DataFrame) -> DataFrame:
     """The same events under the column names of existing event files, earlier aliases included."""
     out = events

@@ -62,9 +62,10 @@ def in_local_dates(events: DataFrame, start: str, end: str, timezone: str = pres
 
 
 def has_visible_change(events: DataFrame) -> Column:
-    """Price events follow their verdict (column `price_visible`), others their normalised values."""
+    """Price events follow their verdict (column `price_visible`), others, and price events stored without one, their normalised values."""
     differs = E.event_value_text(events, "before") != E.event_value_text(events, "after")
-    return F.when(F.col("change_type") == presets.PRICE, _flag(events, "price_visible")).otherwise(differs)
+    verdict = F.col("price_visible") if "price_visible" in events.columns else F.lit(None).cast("boolean")
+    return F.when(F.col("change_type") == presets.PRICE, F.coalesce(verdict, differs)).otherwise(differs)
 
 
 def localization_score(events: DataFrame, profile: Profile = DEFAULT) -> Column:

@@ -14,8 +14,15 @@ from driftmark.presets import DEFAULT, UNNAMED, Profile
 
 def truthy_text(doc: Column) -> Column:
     """Text of a document value that counts as present: not null, false, 0, empty."""
-    text = F.when(V.is_blank(doc), None).otherwise(doc.try_cast("string"))
-    return F.when(~text.isin("", "0", "0.0", "false", "[]", "{}"), text)
+    kind, text = F.schema_of_variant(doc), doc.try_cast("string")
+    absent = (
+        F.when(kind == "STRING", text == "")
+        .when(kind == "BOOLEAN", ~doc.try_cast("boolean"))
+        .when(F.startswith(kind, F.lit("ARRAY")), F.size(V.as_list(doc)) == 0)
+        .when(F.startswith(kind, F.lit("OBJECT")), F.size(F.map_keys(V.as_object(doc))) == 0)
+        .otherwise(F.coalesce(doc.try_cast("double") == 0, F.lit(False)))
+    )
+    return F.when(~V.is_blank(doc) & ~F.coalesce(absent, F.lit(True)), F.coalesce(text, V.canonical(doc)))
 
 
 def identity_of(doc: Column, fallback: Column, profile: Profile = DEFAULT) -> Column:

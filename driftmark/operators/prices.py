@@ -65,7 +65,7 @@ def _compare_sides(sides: DataFrame, key: str, line: Sequence[str], position: st
 # ---- document form: price lists inside one VARIANT value -----------------------------------------------
 
 
-def price_lines(df: DataFrame, doc: str, keys: Sequence[str], max_depth: int = 8) -> DataFrame:
+def price_lines(df: DataFrame, doc: str, keys: Sequence[str], max_depth: int | None = None) -> DataFrame:
     """Rows `(keys, position, amount, start, end, currency, amount_text, raw_start, raw_end)` of a price document.
 
     The first period object and the first amount of each list item count, in canonical key order;
@@ -121,7 +121,9 @@ def price_document_verdicts(changes: DataFrame, keys: Sequence[str], before: str
     each = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col(before).alias("d")), F.struct(F.lit(1).alias("s"), F.col(after).alias("d"))))
     docs = changes.select(*keys, each.alias("x")).select(*keys, F.col("x.s").alias("__side"), F.col("x.d").alias("doc"))
     lines = price_lines(docs.filter(~V.is_blank(F.col("doc"))), "doc", [*keys, "__side"])
-    known = _compare_sides(lines.withColumn("__key", F.struct(*keys)), "__key", line, "position", True).select(
+    # The amount that is shown has its currency, so a change of currency is a change of amount.
+    shown = F.when(F.col("amount") != "", F.concat_ws(" ", "amount", "currency")).otherwise("")
+    known = _compare_sides(lines.withColumn("__key", F.struct(*keys)).withColumn("amount", shown), "__key", line, "position", True).select(
         *[F.col(f"__key.{k}").alias(k) for k in keys], "verdict"
     )
     judged = changes.join(known, list(keys), "left").withColumn("verdict", F.coalesce("verdict", F.lit(OPAQUE)))

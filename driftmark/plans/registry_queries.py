@@ -131,11 +131,13 @@ def responses_per_record(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "question_labels",
     """SELECT l_orderkey, l_linenumber, l_suppkey, coalesce(p_name, CAST(l_partkey AS VARCHAR)) AS label FROM lineitem LEFT JOIN
-(SELECT p_partkey, p_name FROM part WHERE p_size > 10) ON p_partkey = l_partkey""",
+(SELECT p_partkey, CASE WHEN p_size > 10 THEN p_name END AS p_name FROM part) ON p_partkey = l_partkey""",
 )
 def question_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Answers (lineitems) under their question text (part name), the link id where there is none."""
-    labels = table(spark, folder, "part").filter("p_size > 10").select(F.lit("q").alias("url"), F.col("p_partkey").cast("string").alias("link_id"), F.col("p_name").alias("label"))
+    labels = table(spark, folder, "part").select(
+        F.lit("q").alias("url"), F.col("p_partkey").cast("string").alias("link_id"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("label")
+    )
     answers = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", F.lit("q").alias("questionnaire"), F.col("l_partkey").cast("string").alias("link_id")
     )

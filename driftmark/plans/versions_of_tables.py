@@ -26,13 +26,13 @@ a AS (SELECT doc_id,
              CASE WHEN doc_id % 7 = 0 THEN source || '_x' ELSE source END AS source,
              CASE WHEN doc_id % 11 = 0 THEN replace(text, '. ', '! ') ELSE text END AS text,
              lang
-      FROM documents WHERE doc_id % 29 <> 0)"""
+      FROM documents WHERE doc_id % 29 <> 0 OR doc_id % 31 = 0)"""
 
 
 def document_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents").select("doc_id", *DOC_FIELDS)
     before = docs.filter("doc_id % 31 <> 0")
-    after = docs.filter("doc_id % 29 <> 0").select(
+    after = docs.filter("doc_id % 29 <> 0 or doc_id % 31 = 0").select(
         "doc_id",
         F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit("_x"))).otherwise(F.col("source")).alias("source"),
         F.when(F.col("doc_id") % 11 == 0, F.replace("text", F.lit(". "), F.lit("! "))).otherwise(F.col("text")).alias("text"),
@@ -128,7 +128,6 @@ def user_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == presets.TEXT, tokens).alias("word_diff"),
         (F.col("event_type") == "error").alias("simulated"),
         (F.col("value") < 1).alias("development"),
-        F.lit(True).alias("price_visible"),
     )
 
 
@@ -138,7 +137,7 @@ PAGES_SQL = r"""
 pb AS (SELECT page_id, html FROM pages WHERE page_id % 13 <> 0),
 pa AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(html, '<p>', '<p>! ')
                             WHEN page_id % 7 = 0 THEN replace(html, '<li>', '<li>. ') ELSE html END AS html
-       FROM pages WHERE page_id % 17 <> 0)"""
+       FROM pages WHERE page_id % 17 <> 0 OR page_id % 13 = 0)"""
 
 
 def page_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +148,7 @@ def page_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         .when(F.col("page_id") % 7 == 0, F.replace("html", F.lit("<li>"), F.lit("<li>. ")))
         .otherwise(F.col("html"))
     )
-    return before, pages.filter("page_id % 17 <> 0").select("page_id", html.alias("html"))
+    return before, pages.filter("page_id % 17 <> 0 or page_id % 13 = 0").select("page_id", html.alias("html"))
 
 
 def _blocks_sql(pages: str, name: str) -> str:
@@ -194,7 +193,7 @@ def block_sections(pages: DataFrame) -> DataFrame:
 PRICE_LINE = ["amount", "start", "end", "currency"]
 
 PRICES_SQL = r"""
-r AS (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS ship FROM lineitem WHERE l_returnflag = 'R'),
+r AS (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS ship FROM lineitem),
 lb AS (SELECT l_partkey AS part, printf('%.6f', l_extendedprice) AS amount, ship AS start, '' AS "end", 'EUR' AS currency,
               row_number() OVER (PARTITION BY l_partkey ORDER BY ship, l_extendedprice, l_orderkey, l_linenumber, l_suppkey) AS pos FROM r),
 la AS (SELECT l_partkey AS part, printf('%.6f', CASE WHEN l_partkey % 5 = 0 THEN l_extendedprice * 1.1 ELSE l_extendedprice END) AS amount,
@@ -211,7 +210,7 @@ verdicts AS (
 
 def price_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Price lines `(part, amount, start, end, currency, position)` before and after."""
-    lines = table(spark, folder, "lineitem").filter("l_returnflag = 'R'").select(
+    lines = table(spark, folder, "lineitem").select(
         F.col("l_partkey").alias("part"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship"), (-F.col("l_orderkey")).alias("newest"),
     )

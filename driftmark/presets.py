@@ -297,3 +297,7 @@ class Profile:
 
 
 DEFAULT = Profile()
+
+# How amounts are found in text.
+AMOUNT_IN_TEXT = r"(?i)(\d+(?:[.,]\d{1,2})?)\s*(€|EUR)"
+AMOUNT_WITH_CURRENCY = r"(?i)(\d+(?:[.,]\d+)?)\s*([A-Z]{3}|€)"

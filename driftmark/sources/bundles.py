@@ -9,13 +9,15 @@ from driftmark.functions import variant as V
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """`(file, doc VARIANT)` of JSON files with one document each; unreadable files give a null document."""
+    """`(file, doc VARIANT)` of JSON files with one document each; a file that can't be read stops the job, by name."""
     return parse_documents(spark.read.text(path, wholetext=True))
 
 
 def parse_documents(text: DataFrame) -> DataFrame:
     """The same from a frame of whole files, batch or stream."""
-    return text.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+    docs = text.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+    failed = F.raise_error(F.concat(F.lit("not a JSON document, or one of over 128 MiB: "), F.col("file"))).cast("boolean")
+    return docs.filter(F.when(F.col("doc").isNull(), failed).otherwise(F.lit(True)))
 
 
 def read_bundles(spark: SparkSession, path: str, page_digits: str = r"(\d+)\.json$") -> DataFrame:

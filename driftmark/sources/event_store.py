@@ -19,17 +19,16 @@ def batch_id(detected_at: Column) -> Column:
 def append_events(events: DataFrame, root: str, batch: str) -> int:
     """Write one batch; writing the same batch again replaces it.  Returns the number of events.
 
-    Batch metadata is written only when there were events, and a batch without it is not read.
+    A batch of no events has metadata too, so that a rerun without events leaves none of an earlier run's.
     """
     seen = Observation()
     counted = events.observe(seen, F.count(F.lit(1)).alias("n"), F.min("detected_at").alias("t"))
     counted.write.mode("overwrite").parquet(f"{root}/events/batch_id={batch}")
     count = seen.get["n"]
-    if count:
-        meta = events.sparkSession.range(1).select(
-            F.lit(seen.get["t"]).alias("created_at"), F.lit(count).cast("bigint").alias("event_count")
-        )
-        meta.coalesce(1).write.mode("overwrite").parquet(f"{root}/batches/batch_id={batch}")
+    meta = events.sparkSession.range(1).select(
+        F.lit(seen.get["t"]).cast("string").alias("created_at"), F.lit(count).cast("bigint").alias("event_count")
+    )
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{root}/batches/batch_id={batch}")
     return count
 
 
@@ -39,7 +38,8 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_batches(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("basePath", f"{root}/batches").parquet(f"{root}/batches")
+    """Batches that hold events."""
+    return spark.read.option("basePath", f"{root}/batches").parquet(f"{root}/batches").filter("event_count > 0")
 
 
 def read_event_files(spark: SparkSession, path: str) -> DataFrame:
