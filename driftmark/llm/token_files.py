@@ -28,6 +28,7 @@ from driftmark.session import new_work_dir
 
 MAGIC = b"DMIDS001"
 TOKENS_PER_FILE = 4_000_000
+AT_ONCE = 1 << 18  # ids coded or decoded at once, a multiple of four
 MANIFEST = "part int, file int, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -58,12 +59,16 @@ def unpack_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """One file's content for documents in order."""
-    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-    counts = np.bincount(flat) if len(flat) else np.zeros(0, np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    pieces = [flat[i : i + AT_ONCE] for i in range(0, len(flat), AT_ONCE)]
+    counts = np.zeros(int(flat.max()) + 1 if len(flat) else 0, np.int64)
+    for piece in pieces:
+        counts += np.bincount(piece, minlength=len(counts))
     table = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
     rank = np.zeros(len(counts), np.uint32)
     rank[table] = np.arange(len(table))
-    control, data = pack_ranks(rank[flat] if len(flat) else flat.astype(np.uint32))
+    coded = [pack_ranks(rank[piece]) for piece in pieces]
+    control, data = b"".join(c.tobytes() for c, _ in coded), b"".join(d.tobytes() for _, d in coded)
     parts = [
         MAGIC,
         np.array([len(doc_ids), len(flat), len(table), len(data)], "<i8"),
@@ -92,7 +97,13 @@ def file_documents(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         return found
 
     table, doc_ids, present, lengths = take("<u4", n_ranks), take("<i8", n_docs), take("u1", n_docs), take("<i8", n_docs)
-    ids = table[unpack_ranks(take("u1", -(-n_ids // 4)), take("u1", n_data), n_ids)]
+    control, data = take("u1", -(-n_ids // 4)), take("u1", n_data)
+    ids, begin = np.empty(n_ids, np.uint32), 0
+    for i in range(0, n_ids, AT_ONCE):
+        n = min(AT_ONCE, n_ids - i)
+        some = control[i // 4 : -(-(i + n) // 4)]
+        ids[i : i + n] = table[unpack_ranks(some, data[begin:], n)]
+        begin += int(LENGTHS[some].reshape(-1)[:n].sum())
     return [int(x) if p else None for x, p in zip(doc_ids, present)], np.split(ids, np.cumsum(lengths)[:-1]) if n_docs else []
 
 

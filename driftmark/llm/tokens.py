@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Lower-case letters that normalising leaves as they are, then ASCII marks: one or two pieces for the vocabulary's rules.
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-SLICE_BYTES = 3 << 20  # text handled at once
-CACHE_SEGMENTS = 500_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
+SLICE_BYTES = 2 << 20  # text handled at once
+CACHE_SEGMENTS = 300_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
 
 
 def default_path() -> str:
