@@ -65,6 +65,8 @@ class SegmentEncoder:
     def _shrink(self) -> None:
         """Forget the stems that were met least often."""
         n = len(self.slots)
+        if not n:
+            return
         kept = np.flatnonzero(self.hits[:n] > np.median(self.hits[:n]))
         stems = list(self.slots)
         stems = [stems[i] for i in kept]

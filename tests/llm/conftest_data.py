@@ -1,0 +1,6 @@
+import random
+
+
+def lengths():
+    rnd = random.Random(4)
+    return [(i, " ".join(rnd.choice(["the", "of", "and", "to"]) for _ in range(int(rnd.lognormvariate(6, 1))))) for i in range(400)]
