@@ -217,7 +217,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
 
 def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     """Repeated windows of a shard's regions, and digests of the distinct windows of spread anchors."""
-    rows = rows.sort_values(["anchor", "content"], kind="stable").reset_index(drop=True)
+    # Rows of one doc_id and text cut the same region out twice.
+    rows = rows.drop_duplicates(["anchor", "content"]).sort_values(["anchor", "content"]).reset_index(drop=True)
     sizes = rows["data"].map(len).to_numpy()
     data = np.frombuffer(b"".join(rows["data"]), np.uint8)
     firsts = np.cumsum(sizes) - sizes
@@ -320,8 +321,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     shard = F.pmod(F.when(F.col("spread"), F.xxhash64(*named)).otherwise(F.xxhash64("anchor")), F.lit(shards)).cast("int")
     by_text = wanted.groupBy(*PLACE).agg(F.collect_list(F.struct("start", *named, "n", "copies", shard.alias("shard"), "spread")).alias("wanted"))
     cut = _joined(texts, by_text, "inner").select(texts["doc_id"], texts["row"], "text", "wanted")
-    pieces = cut.mapInArrow(_cut, PIECES).dropDuplicates([*named])
-    found = pieces.groupBy("shard").applyInPandas(_shard, FOUND)
+    found = cut.mapInArrow(_cut, PIECES).groupBy("shard").applyInPandas(_shard, FOUND)
     key = F.coalesce("d1", F.xxhash64("doc_id", "row", "s"))
     met = found.withColumn("key", key).repartition("key").sortWithinPartitions("d1", "d2").drop("key").mapInArrow(_meet, "doc_id long, row long, s long, e long")
     return whole.unionByName(met)
