@@ -151,7 +151,7 @@ def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     first = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8")[:, 0].astype(np.uint64)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)  # the order of equal ones is of no account
     new = np.concatenate(([True], first[order[1:]] != first[order[:-1]]))
     heads = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is its first place
     rank = np.empty(n, np.int64)
@@ -166,7 +166,7 @@ def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         suffix = order[places]
         after = np.where(suffix + depth < n, rank[np.minimum(suffix + depth, n - 1)] + 1, 0)
         key = rank[suffix] * (n + 1) + after
-        turn = np.argsort(key, kind="stable")
+        turn = np.argsort(key)
         order[places], key = suffix[turn], key[turn]
         # Places of a group are together, and groups stay in their places, so only heads inside groups are new.
         new[places[1:]] |= key[1:] != key[:-1]
