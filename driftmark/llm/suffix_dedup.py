@@ -306,7 +306,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     named = ["anchor", "content"]
     places = texts.mapInArrow(_find, REGIONS)
     common = places.groupBy("anchor").agg(F.count("*").alias("places"), F.min("content").alias("low"), F.max("content").alias("high"))
-    common = common.filter("places > 1").select("anchor", (F.col("low") != F.col("high")).alias("contested"))
+    # Written first, so that the join has an exchange of its own, whose large partitions can be split.
+    common = stored(common.filter("places > 1").select("anchor", (F.col("low") != F.col("high")).alias("contested")), "common-anchors")
     places = stored(places.join(common, "anchor"), "common-regions")
     columns = ["n", "contested", *PLACE, "start"]
     # All any_value of one row's columns see the rows in the same order, so they name one place.
