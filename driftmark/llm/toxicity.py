@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.langid import held_out
+from driftmark.llm.work import stored
 
 DECAY, GAP = 0.7, 3
 LONGEST = 24  # letters of a word that are scored at once; longer ones are scored in overlapping parts
-BITS = 20  # of a subsequence's number
-LANDMARKS = 128
+BITS = 22  # of a subsequence's number
+LANDMARKS = 256
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000  # labelled texts the model is learned from, about
 STEM = 4  # letters of a word's beginning
+HARD_WORDS = 2000  # clean words a first model takes for the most toxic, which the next one learns as well
 MOST_WORDS = 4000  # words of either kind the machine is trained on
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
@@ -117,7 +119,7 @@ def train(toxic: list[str], clean: list[str]) -> Model:
     rows = np.repeat(np.arange(len(some)), (numbers > 0).sum(1))
     values = (np.broadcast_to(weights, numbers.shape) / _norms(numbers, weights)[:, None])[numbers > 0]
     used, column = np.unique(numbers[numbers > 0], return_inverse=True)
-    half = min(LANDMARKS // 2, int((y > 0).sum()))
+    half = min(2 * LANDMARKS // 3, int((y > 0).sum()))
     positive, negative = np.flatnonzero(y > 0), np.flatnonzero(y < 0)
     marks = np.concatenate([positive[np.linspace(0, len(positive) - 1, half).astype(int)], negative[np.linspace(0, len(negative) - 1, min(LANDMARKS - half, len(negative))).astype(int)] if len(negative) else negative])
     dense = np.zeros((len(marks), len(used)))
@@ -134,11 +136,10 @@ def train(toxic: list[str], clean: list[str]) -> Model:
     table = np.zeros((1 << BITS) + 1)
     table[used] = dense.T @ (root @ w[:-1])
     margin = features @ w
-    # The border lies between the kinds: nearer to the clean words' upper end, which are all there are of them.
-    low = np.quantile(margin[y < 0], 0.9995) if (y < 0).any() else -1.0
-    high = np.quantile(margin[y > 0], 0.1)
-    border = max(low, 0.5 * (low + high)) if high > low else low
-    return Model(table, float(w[-1] - border), 6.0 / max(0.2, high - border))
+    low = np.quantile(margin[y < 0], 0.9998) if (y < 0).any() else -1.0
+    high = np.quantile(margin[y > 0], 0.05)
+    border = low + 0.4 * (high - low) if high > low else low  # insults with letters put in lie below the plain ones
+    return Model(table.astype(np.float32), float(w[-1] - border), 6.0 / max(0.2, high - border))
 
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the texts of docs that labels (doc_id, toxic) marks 0 or 1; rows without text or label teach nothing.
 
     About SAMPLE_TOXIC and SAMPLE_CLEAN texts are used, chosen by a hash of doc_id. What comes to the driver is
-    MOST_WORDS words of either kind at most.
+    MOST_WORDS words of either kind at most, and twice HARD_WORDS clean ones that a model took for toxic.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -167,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select("doc_id", F.col("text").cast("string")).filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     pairs = texts.mapInArrow(_contexts, "toxic int, word string, context long").distinct()
-    seen = pairs.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
+    seen = stored(pairs.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")), "labelled-words")
     bad_all, good_all, n = seen.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
     if not bad_all:
         return train([], [])
@@ -183,7 +184,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     clean = seen.filter("good > 0 and word not like '^%'").filter(F.col("good") * 2 > F.col("bad"))
     frequent = [r["word"] for r in clean.orderBy(F.desc("good"), "word").limit(MOST_WORDS // 4).collect()]
     others = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS).collect()]
-    return train(toxic, sorted(set(frequent) | set(others)))
+    taught = set(frequent) | set(others)
+    model = train(toxic, sorted(taught))
+    for _ in range(2 if toxic else 0):
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+        margins = clean.select("word").mapInArrow(partial(_margins, model=sent), "word string, margin double")
+        taught |= {r["word"] for r in margins.orderBy(F.desc("margin"), "word").limit(HARD_WORDS).collect()}
+        model = train(toxic, sorted(taught))
+    return model
+
+
+def _margins(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        some = batch.column("word").to_pylist()
+        for i in range(0, len(some), 2048):
+            part = some[i : i + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(_word_margins(part, model.value))], ["word", "margin"])
+
+
+def _word_margins(some: list[str], model: Model) -> np.ndarray:
+    """Margin of each word: the highest of its parts."""
+    parts = [_parts(w) for w in some]
+    ends = np.cumsum([len(ps) for ps in parts])
+    return np.maximum.reduceat(model.margins([p for ps in parts for p in ps]), ends - [len(ps) for ps in parts])
 
 
 def _score(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -198,10 +221,7 @@ def _score(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
                     known, new = {}, list(found)
                 for i in range(0, len(new), 2048):
                     some = new[i : i + 2048]
-                    parts = [_parts(w) for w in some]
-                    margin = model.margins([p for ps in parts for p in ps])
-                    ends = np.cumsum([len(ps) for ps in parts])
-                    known.update(zip(some, np.maximum.reduceat(margin, ends - [len(ps) for ps in parts]).tolist()))
+                    known.update(zip(some, _word_margins(some, model).tolist()))
             scores.append(model.probability(max((known[w] for w in found), default=-10.0)))
         keep = [c for c in batch.schema.names if c != "__text"]
         predicted = pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())
