@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from driftmark.llm.work import stored
 
-SPACES = r"[\x20\x09-\x0D]+"
+#: A run of ASCII white space that is not one space already.
+SPACES = r"\x20{2,}[\x20\x09-\x0D]*|\x20?[\x09-\x0D][\x20\x09-\x0D]*"
 LEAST_WORDS = 5
 BLOCK = 32  # words whose keys are combined first
 
@@ -161,12 +162,13 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
         F.collect_set("at.line_no").alias("__gone"), F.count_if(~F.col("near")).alias("__equal"), F.count_if("near").alias("__near")
     )
     joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.hash(text) == F.col("__row")), "left")
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    # A column of its own: inside the lambda the text would be split once a line.
+    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(text, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     columns = [c for c in docs.columns if c not in ("text", "n_equal", "n_near")]
     return joined.select(
         *(F.col(f"`{c}`") for c in columns),
-        F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias("text"),
+        F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")).alias("text"),
         F.coalesce("__equal", F.lit(0)).alias("n_equal"),
         F.coalesce("__near", F.lit(0)).alias("n_near"),
     )
