@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from driftmark.llm.chars import code_points, folded, grams
 from driftmark.llm.tokens import slices
+from driftmark.llm.work import give_back
 
 Q = 10
 SEGMENT, STRIDE = 80, 40
@@ -151,6 +152,7 @@ def _search(batches: Iterable[pa.RecordBatch], items) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "start", "end", "edits"]
                 )
+    give_back()
 
 
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

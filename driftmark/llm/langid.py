@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.llm.chars import code_points, folded, grams
+from driftmark.llm.work import give_back
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3)  # of n-grams
@@ -85,6 +86,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, parts in held.items():
         keys, counts = merged(parts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "key", "n"])
+    give_back()
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
@@ -116,6 +118,7 @@ def _predict(batches: Iterable[pa.RecordBatch], profiles: Profiles) -> Iterator[
         columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"]
         names = [c for c in batch.schema.names if c != "__text"]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+    give_back()
 
 
 def predicted(docs: DataFrame, profiles: Profiles, *keep: Column | str) -> DataFrame:
@@ -138,6 +141,7 @@ def _accept(batches: Iterable[pa.RecordBatch], profiles: Profiles, least_score:
     for batch in batches:
         found = [predict(t, profiles) for t in batch.column("text").cast(pa.string()).to_pylist()]
         yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+    give_back()
 
 
 def accepted(docs: DataFrame, least_score: float) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.graph import components
-from driftmark.llm.work import stored
+from driftmark.llm.work import give_back, stored
 
 RADIUS = 3
 WORDS = 3  # of a shingle
@@ -61,6 +61,7 @@ def _fingerprints(batches: Iterable[pa.RecordBatch], words: int, width: int) ->
         found = [fingerprint(t.as_py(), words, width) for t in batch.column("text")]
         columns = [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "bits", "n"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, width: int = 1) -> DataFrame:
@@ -157,6 +158,7 @@ def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         held.append((node[cut:], bits[cut:], side[cut:], tile[cut:]))
     if held:
         yield result()
+    give_back()
 
 
 def _tile_pairs(rows: DataFrame, group: list[str], cell: str, reach: int, most: int) -> DataFrame:

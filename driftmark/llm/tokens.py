@@ -15,6 +15,8 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from driftmark.llm.work import give_back
+
 END_ID = 2
 #: Lower-case letters that normalising leaves as they are, then ASCII marks: one or two pieces for the vocabulary's rules.
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -62,6 +64,11 @@ class SegmentEncoder:
         self.hits = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def rest(self) -> None:
+        """Keep the frequent stems only, between tasks."""
+        if len(self.slots) > self.cache_segments // 4:
+            self._shrink()
+
     def _shrink(self) -> None:
         """Forget the stems that were met least often."""
         n = len(self.slots)
@@ -167,9 +174,13 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 _encoders: dict[str, SegmentEncoder] = {}
 
 
+def key_of(path: str | None) -> str:
+    return path or default_path()
+
+
 def encoder(path: str | None = None) -> SegmentEncoder:
     """One encoder per Python worker and file, so that later tasks find segments already encoded."""
-    key = path or default_path()
+    key = key_of(path)
     if key not in _encoders:
         _encoders[key] = SegmentEncoder(key)
     return _encoders[key]
@@ -187,4 +198,8 @@ def encoded_texts(batches: Iterable[pa.RecordBatch], path: str | None = None, en
             keep[ends - 1] = False
             out[keep], out[ends - 1] = ids, end_id
             yield batch.slice(a, b - a), np.split(out, ends[:-1])
+        del batch, texts
         pa.default_memory_pool().release_unused()
+    if key_of(path) in _encoders:
+        encoder(path).rest()
+    give_back()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from driftmark.session import new_work_dir
@@ -15,3 +19,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder = new_work_dir(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: its Python worker lives on, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
