@@ -1,18 +1,10 @@
-import random
-
 import pytest
 from pyspark.sql import Row
+from tests_llm_helpers import passages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, fp string, bits string, row string, at string"
 
 
-def passages(seed: int, n: int, size: int) -> list[str]:
-    rnd = random.Random(seed)
-    syllables = ["ba", "ko", "ri", "tu", "ne", "lo", "sa", "mi", "po", "du", "ke", "va"]
-    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4)))
-    return [" ".join(word() for _ in range(size)) for _ in range(n)]
-
-
 def awkward() -> list[tuple[int | None, str | None]]:
     """Nulls, empty and blank texts, repeated rows, ties, odd characters, and a very long text."""
     base = passages(1, 12, 60)
@@ -42,10 +34,3 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-def as_counts(rows):
-    out = {}
-    for r in rows:
-        out[tuple(r)] = out.get(tuple(r), 0) + 1
-    return out

@@ -178,7 +178,7 @@ def test_components(spark):
 
 
 def test_one_of_each_group(docs, empty, spark):
-    from conftest import passages
+    from tests_llm_helpers import passages
 
     base = passages(9, 6, 300)
     rows = [(i, t, "x") for i, t in enumerate(base)]
@@ -228,7 +228,7 @@ def test_repeated_bytes_of_spread_anchors(spark, monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "SPREAD", 3)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
-    from conftest import passages
+    from tests_llm_helpers import passages
 
     rnd, shared = random.Random(5), passages(7, 1, 90)[0]
     rows = []

@@ -120,7 +120,7 @@ def test_ranks_and_distance_by_hand():
 
 
 def items():
-    from conftest import passages
+    from tests_llm_helpers import passages
 
     return [(i, t) for i, t in enumerate(passages(30, 8, 25))] + [(50, None), (51, ""), (52, "tiny"), (None, passages(31, 1, 20)[0]), (60, passages(30, 8, 25)[0])]
 
@@ -137,7 +137,7 @@ def edit_distance_within(pattern, text):
 
 
 def test_passages(spark, docs, empty, rows):
-    from conftest import passages
+    from tests_llm_helpers import passages
 
     bench = items()
     text = dict((i, t) for i, t in bench)
@@ -178,7 +178,7 @@ def test_passages_in_blocks(spark, monkeypatch):
 
 def test_band_counts_lose_no_match():
     """Random edits within the budget: every edited segment is found."""
-    from conftest import passages
+    from tests_llm_helpers import passages
 
     rnd = random.Random(12)
     index = decontaminate.Index([(0, passages(50, 1, 40)[0])])
@@ -216,7 +216,7 @@ def test_kernel_is_that_of_common_subsequences():
 
 def test_toxicity_on_held_out_texts(spark, empty):
     rnd = random.Random(3)
-    from conftest import passages
+    from tests_llm_helpers import passages
 
     common = list(dict.fromkeys(" ".join(passages(70, 4, 300)).split()))
     bad = ["stupid", "moron", "worthless", "disgusting"]

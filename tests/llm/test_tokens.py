@@ -80,7 +80,7 @@ def test_packing(docs, empty, rows, limits):
 
 
 def test_packing_wastes_little(spark):
-    from conftest_data import lengths
+    from tests_llm_helpers import lengths
 
     df = spark.createDataFrame(lengths(), "doc_id long, text string").coalesce(2)
     got = packing.pack(df).groupBy("sequence_id").sum("length").collect()
