@@ -161,15 +161,16 @@ def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
     give_back()
 
 
-def _tile_pairs(rows: DataFrame, group: list[str], cell: str, reach: int, most: int) -> DataFrame:
+def _tile_pairs(rows: DataFrame, group: list[str], cell: str, reach: int, most: int, one_group: bool = False) -> DataFrame:
     """(tile, side, node, bits): rows (node, bits, group columns, cell) dealt to tiles of about most rows.
 
     A group of up to most rows is one tile. Of a larger one, each cell is dealt to tiles by hash, and tiles
-    are paired if their cells differ by reach at most.
+    are paired if their cells differ by reach at most. one_group tells that the group columns have one value.
     """
     counts = rows.groupBy(*group, cell).count()
     tiles = F.map_from_entries(F.collect_list(F.struct(cell, F.ceil(F.col("count") / most).cast("int"))))
-    joined = rows.join(counts.groupBy(*group).agg(F.sum("count").alias("rows"), tiles.alias("tiles")).filter("rows > 1"), group)
+    held = counts.groupBy(*group).agg(F.sum("count").alias("rows"), tiles.alias("tiles")).filter("rows > 1")
+    joined = rows.join(F.broadcast(held) if one_group else held, group)  # one row, of one entry per cell
 
     def named(*parts: Column) -> Column:
         return F.xxhash64(*group, *parts)
@@ -236,7 +237,7 @@ def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: floa
     prints = stored(prints.select("doc_id", "bits", size.alias("size")), "copy-fingerprints")
     nodes = stored(prints.groupBy("bits", "size").agg(F.min("doc_id").alias("node")), "copy-nodes")
     # Of two equal texts under one doc_id the node is the same; so is that of two texts of one doc_id and different bits.
-    roots = linked(_tile_pairs(nodes.withColumn("all", F.lit(0)), ["all"], "size", 1, COPY_TILE), copy_radius(similarity))
+    roots = linked(_tile_pairs(nodes.withColumn("all", F.lit(0)), ["all"], "size", 1, COPY_TILE, one_group=True), copy_radius(similarity))
     linked_ = roots.filter("node != root").select(F.col("node").alias("doc_id"))
     same = prints.join(nodes, ["bits", "size"]).filter("doc_id != node").select("doc_id")
     gone = linked_.unionByName(same).distinct().select(F.col("doc_id").alias("__gone"))
