@@ -27,7 +27,7 @@ from driftmark.llm.tokens import encoded_texts
 from driftmark.session import new_work_dir
 
 MAGIC = b"DMIDS001"
-TOKENS_PER_FILE = 4_000_000
+TOKENS_PER_FILE = 2_000_000
 AT_ONCE = 1 << 18  # ids coded or decoded at once, a multiple of four
 MANIFEST = "part int, file int, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"

@@ -20,8 +20,8 @@ from driftmark.llm.work import give_back
 END_ID = 2
 #: Lower-case letters that normalising leaves as they are, then ASCII marks: one or two pieces for the vocabulary's rules.
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-SLICE_BYTES = 2 << 20  # text handled at once
-CACHE_SEGMENTS = 300_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
+SLICE_BYTES = 1 << 20  # text handled at once
+CACHE_SEGMENTS = 200_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
 
 
 def default_path() -> str:
@@ -199,7 +199,7 @@ def encoded_texts(batches: Iterable[pa.RecordBatch], path: str | None = None, en
             out[keep], out[ends - 1] = ids, end_id
             yield batch.slice(a, b - a), np.split(out, ends[:-1])
         del batch, texts
-        pa.default_memory_pool().release_unused()
+        give_back()
     if key_of(path) in _encoders:
         encoder(path).rest()
     give_back()
