@@ -28,27 +28,36 @@ WORDS = 3  # of a shingle
 SEED = 42
 TILE = 2048  # fingerprints of a tile
 COPY_WORDS, COPY_WIDTH, COPY_SIMILARITY = 5, 4, 0.8
+COPY_DEVIATIONS = 5  # standard deviations of the bits that differ, beyond which a pair is not compared by its shingles
+COPY_SURE = 4  # standard deviations below the expected bits: such a link stands for others between the nodes it joins
 COPY_TILE = 8192
 BUCKET = 256  # fingerprints a bucket should hold on average, at most
 SHINGLES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS, width: int = 1) -> tuple[list[int], int]:
-    """width times 64 bits as signed numbers, and the number of shingles; bits are set that over half the hashes have.
-
-    The first 64 bits come from XXH64 of the shingles, the others from remixing it.
-    """
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles in order, SHINGLES_AT_ONCE of them at most in each array."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space alone
     if not found:
-        return [0] * width, 0
+        return
     flat = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
     starts, ends = starts[:n].tolist(), ends[len(found) - n :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros((width, 64), np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, n, SHINGLES_AT_ONCE):
-        hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES_AT_ONCE], ends[i : i + SHINGLES_AT_ONCE])], "<u8")
+        yield np.array([digest(flat[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES_AT_ONCE], ends[i : i + SHINGLES_AT_ONCE])], "<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS, width: int = 1) -> tuple[list[int], int]:
+    """width times 64 bits as signed numbers, and the number of shingles; bits are set that over half the hashes have.
+
+    The first 64 bits come from XXH64 of the shingles, the others from remixing it.
+    """
+    counts, n = np.zeros((width, 64), np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        n += len(hashes)
         for w in range(width):
             counts[w] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -60,14 +69,17 @@ def _fingerprints(batches: Iterable[pa.RecordBatch], words: int, width: int) ->
     for batch in batches:
         found = [fingerprint(t.as_py(), words, width) for t in batch.column("text")]
         columns = [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "bits", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "bits", "n"])
     give_back()
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, width: int = 1) -> DataFrame:
-    """(doc_id, bits, n) of each row's whole text; a text without words, null too, has bits zero and no shingles."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(partial(_fingerprints, words=words, width=width), "doc_id long, bits array<long>, n long")
+    """(doc_id, row, bits, n) of each row's whole text; a text without words, null too, has bits zero and no shingles.
+
+    row is a hash of the text.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string"))
+    return rows.mapInArrow(partial(_fingerprints, words=words, width=width), "doc_id long, row long, bits array<long>, n long")
 
 
 def masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -161,6 +173,109 @@ def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
     give_back()
 
 
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root (the smallest row that each row is joined to) with links a - b added."""
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _spanning(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """root with pairs p - q added, and as few of these pairs as do it."""
+    chosen = [(p[:0], q[:0])]
+    while True:
+        apart = root[p] != root[q]
+        p, q = p[apart], q[apart]
+        if not len(p):
+            return root, *(np.concatenate(c) for c in zip(*chosen))
+        _, first = np.unique(np.maximum(root[p], root[q]), return_index=True)
+        chosen.append((p[first], q[first]))
+        root = _merged(root, p[first], q[first])
+
+
+def _candidates(node: np.ndarray, bits: np.ndarray, side: np.ndarray, radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a tile's nodes within the radius, less those between nodes that pairs within sure, given too, join."""
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int16)
+    # The fewest words that tell almost all unrelated pairs, half of whose bits differ, apart; other pairs are counted whole.
+    told = next((w for w in range(1, bits.shape[1]) if 32 * w - radius >= 16 * np.sqrt(w)), bits.shape[1])
+    root, own = np.arange(len(node)), side[0] == 2
+    x, y = (root, root) if own else (root[side == 0], root[side == 1])
+    x, y = x[np.argsort(ones[x], kind="stable")], y[np.argsort(ones[y], kind="stable")]
+    for i in range(0, len(x), 128):
+        a = x[i : i + 128]
+        low, high = np.searchsorted(ones[y], ones[a[0]] - radius), np.searchsorted(ones[y], ones[a[-1]] + radius, "right")
+        low = max(low, i) if own else low  # of a side with itself, each row meets the later ones
+        b = y[low:high]
+        apart = np.bitwise_count(bits[a, 0][:, None] ^ bits[b, 0][None, :])
+        for w in range(1, told):
+            apart += np.bitwise_count(bits[a, w][:, None] ^ bits[b, w][None, :])
+        p, q = np.nonzero(apart <= radius)
+        if own:
+            later = q + low > p + i
+            p, q = p[later], q[later]
+        p, q = a[p], b[q]
+        apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int16)
+        root, s, t = _spanning(root, p[apart <= sure], q[apart <= sure])
+        rest = (apart > sure) & (apart <= radius) & (root[p] != root[q])
+        yield node[np.concatenate([s, p[rest]])], node[np.concatenate([t, q[rest]])]
+
+
+def _compare_copies(batches: Iterable[pa.RecordBatch], radius: int, sure: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile; a tile's rows wait for its last."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def result() -> Iterator[pa.RecordBatch]:
+        node, bits, side, tile = (np.concatenate(c) for c in zip(*held))
+        starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        for s, e in zip(starts, np.append(starts[1:], len(tile))):
+            for a, b in _candidates(node[s:e], bits[s:e], side[s:e], radius, sure):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        node, side, tile = (batch.column(c).to_numpy() for c in ("node", "side", "tile"))
+        if held and held[-1][3][-1] != tile[0]:
+            yield from result()
+            held = []
+        cut = int(np.searchsorted(tile, tile[-1]))
+        if cut:
+            held.append((node[:cut], bits[:cut], side[:cut], tile[:cut]))
+            yield from result()
+            held = []
+        held.append((node[cut:], bits[cut:], side[cut:], tile[cut:]))
+    if held:
+        yield from result()
+    give_back()
+
+
+def _shingle_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = [np.unique(h) for h in shingle_hashes(batch.column("text")[i].as_py(), words)]
+            found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+    give_back()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have the similarity (Jaccard); texts is (node, text)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(texts.join(ends, "node", "left_semi").mapInArrow(partial(_shingle_sets, words=words), "node long, shingles array<long>"), "copy-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def _tile_pairs(rows: DataFrame, group: list[str], cell: str, reach: int, most: int, one_group: bool = False) -> DataFrame:
     """(tile, side, node, bits): rows (node, bits, group columns, cell) dealt to tiles of about most rows.
 
@@ -215,30 +330,42 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     return joined.select("doc_id", "fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def copy_radius(similarity: float = COPY_SIMILARITY, width: int = COPY_WIDTH) -> int:
-    """Bits that differ, at most, between two texts whose estimated similarity of shingles (Jaccard) is reached.
+def copy_radius(similarity: float = COPY_SIMILARITY, width: int = COPY_WIDTH, deviations: float = 0) -> int:
+    """Bits that differ between two texts of that similarity of shingles (Jaccard), plus some standard deviations.
 
     The share of bits that differ estimates the angle between two shingle vectors; of two sets of equal size and
     similarity j, its cosine is 2 j / (1 + j).
     """
-    return int(64 * width * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return max(0, int(64 * width * share + deviations * np.sqrt(64 * width * share * (1 - share))))
 
 
 def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """docs less all but the smallest doc_id of each group of near copies.
 
-    Two rows are linked if the estimated similarity of their five-word shingles is 0.8 or more, by 256-bit
-    fingerprints. Such rows have numbers of shingles that differ by a quarter at most, so they are tiled by size, and only
+    Two rows are linked if the similarity (Jaccard) of their sets of five-word shingles is 0.8 or more. 256-bit
+    fingerprints, compared with room for chance, tell which pairs to look at; the shingles themselves decide. Such rows
+    have numbers of shingles that differ by a quarter at most, so they are tiled by size, and only
     tiles of neighbouring sizes are compared. Empty and null texts are one group; rows without doc_id always stay;
     rows that repeat a doc_id stay or go together. All columns are kept; an empty table stays empty.
     """
-    prints = fingerprints(docs.filter("doc_id is not null"), words, COPY_WIDTH)
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(-np.log(similarity))).cast("int")
-    prints = stored(prints.select("doc_id", "bits", size.alias("size")), "copy-fingerprints")
-    nodes = stored(prints.groupBy("bits", "size").agg(F.min("doc_id").alias("node")), "copy-nodes")
-    # Of two equal texts under one doc_id the node is the same; so is that of two texts of one doc_id and different bits.
-    roots = linked(_tile_pairs(nodes.withColumn("all", F.lit(0)), ["all"], "size", 1, COPY_TILE, one_group=True), copy_radius(similarity))
+    prints = fingerprints(known, words, COPY_WIDTH).select("doc_id", "row", "bits", size.alias("size"))
+    prints = stored(prints, "copy-fingerprints")
+    nodes = prints.groupBy("bits", "size").agg(F.min(F.struct("doc_id", "row")).alias("first")).withColumn("node", F.xxhash64("bits", "size"))
+    nodes = stored(nodes.select("bits", "size", "node", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "copy-nodes")
+    tiles = _tile_pairs(nodes.select("node", "bits", "size", F.lit(0).alias("all")), ["all"], "size", 1, COPY_TILE, one_group=True)
+    bounds = {"radius": copy_radius(similarity, deviations=COPY_DEVIATIONS), "sure": copy_radius(similarity, deviations=-COPY_SURE)}
+    pairs = stored(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_compare_copies, **bounds), "a long, b long"), "copy-pairs")
+    ends = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "row")
+    texts = known.withColumn("row", F.xxhash64("text")).join(ends, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "text")
+    # Of two equal texts under one doc_id the node is the same; two texts of one doc_id are one node of the components.
+    named = similar_pairs(pairs, texts, words, similarity)
+    for end in ("a", "b"):
+        named = named.join(ends.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_doc")), end)
+    roots = components(named.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")))
     linked_ = roots.filter("node != root").select(F.col("node").alias("doc_id"))
-    same = prints.join(nodes, ["bits", "size"]).filter("doc_id != node").select("doc_id")
+    same = prints.join(nodes.select("bits", "size", F.col("doc_id").alias("first")), ["bits", "size"]).filter("doc_id != first").select("doc_id")
     gone = linked_.unionByName(same).distinct().select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -194,6 +194,39 @@ def test_one_of_each_group(docs, empty, spark):
     assert simhash.one_of_each_group(empty).count() == 0
 
 
+def shingle_similarity(x, y, words=5):
+    x, y = ({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
+def near_copies(spoilt, seed):
+    """Texts of 60 to 320 words, and a copy of each in which a word of every so many is replaced, at random."""
+    from tests_llm_helpers import passages
+
+    rnd = np.random.default_rng(seed)
+    out = []
+    for i, text in enumerate(passages(seed, 60, 320)):
+        words = text.split()[: 60 + 20 * (i % 14)]
+        other = list(words)
+        for at in rnd.choice(len(words), max(1, round(len(words) * spoilt)), replace=False):
+            other[at] = f"new{at}"
+        out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+def test_copies_are_told_by_their_shingles(spark, monkeypatch):
+    """Pairs about the similarity of 0.8: those from it on go, those below it stay, in one tile and in many."""
+    made = [p for seed, spoilt in enumerate((0.015, 0.02, 0.023, 0.027, 0.03, 0.035), 20) for p in near_copies(spoilt, seed)]
+    near = [shingle_similarity(*p) for p in made]
+    assert sum(0.8 <= j < 0.85 for j in near) > 50 and sum(0.7 <= j < 0.8 for j in near) > 50
+    rows = [(2 * i + k, t) for i, p in enumerate(made) for k, t in enumerate(p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (simhash.COPY_TILE, 90):
+        monkeypatch.setattr(simhash, "COPY_TILE", tile)
+        stay = {r.doc_id for r in simhash.one_of_each_group(df).collect()}
+        assert stay == {i for i, _ in rows} - {2 * i + 1 for i, j in enumerate(near) if j >= 0.8}
+
+
 def repeated_bytes(texts):
     seen = defaultdict(int)
     for b in texts:
