@@ -1,10 +1,13 @@
 """Benchmark passages in documents: q-gram lemma filtering and banded alignment.
 
 Case, punctuation and white space are set aside: a text becomes its lower-case letters and digits with one space
-for each run of anything else. Benchmark items are cut into overlapping segments of 80 characters. A segment of m
+for each run of anything else. A passage is found if it holds a segment of a benchmark item with edits of a tenth of its
+characters at most. Segments begin at every word and are 13 words, or 80 characters where that is less; more of
+80 characters lie on a grid of 40 and at each character of words without end. A segment of m
 characters with at most k edits shares at least m + 1 - q (k + 1) of its q-grams with the document, all on diagonals
 (place in the document less place in the segment) that differ by k at most. So shared q-grams are counted
-in overlapping bands of 2k diagonals; bands that reach the bound are kept, which loses no match, and the segment is
+in overlapping bands of 2k diagonals, of items first and then of the segments of the items that are left; bands that
+reach the bound are kept, which loses no match, and the segment is
 aligned in each of them by dynamic programming along the band's diagonals.
 """
 
@@ -22,9 +25,14 @@ from driftmark.llm.chars import code_points, folded, grams
 from driftmark.llm.tokens import slices
 from driftmark.llm.work import give_back
 
-Q = 10
-SEGMENT, STRIDE = 80, 40
-EDITS = 0.05  # of a segment's characters
+Q = 8
+WORDS = 13  # of a segment
+SEGMENT, STRIDE = 80, 40  # its characters, at most; from one to the next of those that begin anywhere
+LONG_WORD = 20  # characters; of a longer one, each character begins a segment
+LEAST_ITEM = 10  # characters
+EDITS = 0.1  # of a segment's characters
+LEAST_SHARED = 3  # q-grams that a match shares; segments of 24, 25, 32, 33, 40 and 41 characters have an edit fewer for it
+AT_ONCE = 1 << 20  # shared q-grams of segments that are counted at once, about
 BLOCK_CHARS = 400_000  # of benchmark text that is compared in one pass over the documents
 SLICE_BYTES = 1 << 20  # of document text looked up at once
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
@@ -37,40 +45,71 @@ def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
     return points[at], at
 
 
+def segments_of(points: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the segments of an item."""
+    n = len(points)
+    spaces = np.flatnonzero(points == 32)
+    starts, ends = np.append(0, spaces + 1).tolist(), np.append(spaces, n).tolist()
+    if n <= SEGMENT and len(starts) <= WORDS:
+        return [(0, n)]
+    found = {(a, min(a + SEGMENT, ends[w + WORDS - 1] if w + WORDS <= len(ends) else n + 1)) for w, a in enumerate(starts)}
+    anywhere = {*range(0, n, STRIDE), n - SEGMENT, *(c for a, b in zip(starts, ends) if b - a > LONG_WORD for c in range(a, b))}
+    return sorted({(a, b) for a, b in found | {(a, a + SEGMENT) for a in anywhere} if a >= 0 and b <= n})
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
 class Index:
     """The segments of a block of items and their q-grams."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.items, self.segments, keys, segment, place = [], [], [], [], []
+        self.items, self.segments, keys, item, place = [], [], [], [], []
+        first, owners, least, n = [], [], [], 0  # of segments; of all q-grams of items, the segments that hold them
         for item_id, text in items:
             points = plain(text.strip())[0]
             points = points[: len(points) - 1] if len(points) and points[-1] == 32 else points
-            starts = list(range(0, max(1, len(points) - SEGMENT + 1), STRIDE))
-            if len(points) > SEGMENT and starts[-1] != len(points) - SEGMENT:
-                starts.append(len(points) - SEGMENT)
-            for start in starts if len(points) >= Q else []:
-                part = points[start : start + SEGMENT]
-                found = grams(part, Q)
-                keys.append(found)
-                place.append(np.arange(len(found)))
-                segment.append(np.full(len(found), len(self.segments)))
-                self.segments.append(part)
+            if len(points) < LEAST_ITEM:
+                continue
+            own = segments_of(points)
+            keys.append(grams(points, Q))
+            place.append(np.arange(len(keys[-1])))
+            item.append(np.full(len(keys[-1]), len(least)))
+            for start, end in own:
+                owners.append((np.arange(n + start, n + end - Q + 1), np.full(max(0, end - start - Q + 1), len(self.segments))))
+                self.segments.append(points[start:end])
                 self.items.append(item_id)
+                first.append(start)
+            n += len(keys[-1])
+            least.append(min(int(self._bounds(np.array([e - s for s, e in own]))[1].min()), 1 << 30))
         self.sizes = np.array([len(s) for s in self.segments], np.int64)
-        self.edits = np.minimum((EDITS * self.sizes).astype(np.int64), self.sizes // Q - 1)
-        self.least = self.sizes + 1 - Q * (self.edits + 1)
+        self.first = np.array(first, np.int64)
+        self.edits, self.least = self._bounds(self.sizes)
+        self.item_least = np.array(least, np.int64)
         self.letters = np.zeros((len(self.segments), SEGMENT), np.uint32)
         for i, s in enumerate(self.segments):
             self.letters[i, : len(s)] = s
         if keys:
-            keys, segment, place = np.concatenate(keys), np.concatenate(segment), np.concatenate(place)
-            order = np.argsort(keys, kind="stable")
-            self.segment, self.place = segment[order], place[order]
-            self.keys, self.starts = np.unique(keys[order], return_index=True)
+            keys, self.gram_item, self.gram_place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
+            self.reach = int(self.gram_place.max()) + 1
+            held, owner = (np.concatenate(c) for c in zip(*owners))
+            self.owner = owner[np.argsort(held, kind="stable")]
+            self.owned = np.bincount(held, minlength=n)
+            self.owner_starts = np.cumsum(self.owned) - self.owned
+            self.posting = np.argsort(keys, kind="stable")
+            self.keys, self.starts = np.unique(keys[self.posting], return_index=True)
             self.counts = np.diff(np.append(self.starts, len(keys)))
             self.seen = np.zeros(1 << 22, bool)
             self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
+    @staticmethod
+    def _bounds(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Most edits, and fewest shared q-grams, of segments of these sizes."""
+        edits = np.maximum(0, np.minimum((EDITS * sizes).astype(np.int64), (sizes + 1 - LEAST_SHARED) // Q - 1))
+        return edits, sizes + 1 - Q * (edits + 1)
+
     def regions(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(segment, lowest diagonal) of each band that holds enough shared q-grams."""
         width = int(max(1, self.edits.max()))
@@ -79,17 +118,34 @@ class Index:
         where = np.minimum(np.searchsorted(self.keys, found[at]), len(self.keys) - 1)
         hit = self.keys[where] == found[at]
         at, where = at[hit], where[hit]
-        counts = self.counts[where]
-        posting = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.starts[where], counts)
-        segment = self.segment[posting]
-        diagonal = np.repeat(at, counts) - self.place[posting] + SEGMENT  # never negative
+        at, gram = np.repeat(at, self.counts[where]), self.posting[_runs(self.starts[where], self.counts[where])]
+        # Of a segment, all diagonals that count lie in two bands of its item, one after the other.
+        bands = int((len(points) + self.reach) // width + 3)
+        band = self.gram_item[gram] * bands + (at - self.gram_place[gram] + self.reach) // width
+        order = np.argsort(band, kind="stable")
+        at, gram, band = at[order], gram[order], band[order]
+        names, starts, counts = np.unique(band, return_index=True, return_counts=True)
+        follows = np.append(names[1:] == names[:-1] + 1, False)
+        enough = counts + np.where(follows, np.append(counts[1:], 0), 0) >= self.item_least[names // bands]
+        enough[1:] |= follows[:-1] & enough[:-1].copy()
+        kept = np.repeat(enough, counts)
+        at, gram, band = at[kept], gram[kept], band[kept]
+        # Bands that don't touch share no segment's region, so that they can be counted apart.
+        sums = np.cumsum(self.owned[gram])
+        new = np.flatnonzero(np.append(True, band[1:] > band[:-1] + 1)) if len(band) else np.zeros(0, np.int64)
+        cuts = new[np.flatnonzero(np.diff((sums[new] - self.owned[gram[new]]) // AT_ONCE, prepend=-1))]
+        out = [self._of_segments(at[a:b], gram[a:b], width, len(points)) for a, b in zip(cuts, np.append(cuts[1:], len(at)))]
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _of_segments(self, at: np.ndarray, gram: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        segment = self.owner[_runs(self.owner_starts[gram], self.owned[gram])]
+        at, gram = np.repeat(at, self.owned[gram]), np.repeat(gram, self.owned[gram])
+        diagonal = at - (self.gram_place[gram] - self.first[segment]) + SEGMENT  # never negative
         band = diagonal // width
-        bands = int(len(points) // width + SEGMENT + 2)
+        bands = int(length // width + SEGMENT + 2)
         keyed = np.concatenate([segment * bands + band, segment[band > 0] * bands + band[band > 0] - 1])
-        shared = np.sort(keyed)
-        starts = np.flatnonzero(np.concatenate(([True], shared[1:] != shared[:-1]))) if len(shared) else np.zeros(0, np.int64)
-        n = np.diff(np.append(starts, len(shared)))
-        segment, band = np.divmod(shared[starts], bands)
+        shared, n = np.unique(keyed, return_counts=True)
+        segment, band = np.divmod(shared, bands)
         enough = n >= self.least[segment]
         return segment[enough], band[enough] * width - SEGMENT
 
@@ -99,18 +155,20 @@ class Index:
         lanes = 4 * width + 1  # the band and the edits to either side of it
         padded = np.concatenate([np.zeros(SEGMENT + width, np.uint32), points, np.zeros(2 * SEGMENT + lanes, np.uint32)])
         base = low + SEGMENT  # of diagonal low - width, in padded
-        cost = np.zeros((len(segment), lanes), np.int64)
+        seen = padded[base + np.arange(SEGMENT + lanes)[:, None]]  # (characters, regions), as all that follows
+        letters = np.ascontiguousarray(self.letters[segment].T)
+        cost = np.zeros((lanes, len(segment)), np.int16)
         result, lane = np.zeros(len(segment), np.int64), np.zeros(len(segment), np.int64)
-        steps = np.arange(lanes)
-        for i in range(SEGMENT):
-            seen = padded[base[:, None] + i + steps]
-            new = cost + (seen != self.letters[segment, i][:, None])
-            new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
-            new = np.minimum.accumulate(new - steps, axis=1) + steps
+        sizes = self.sizes[segment]
+        for i in range(int(sizes.max(initial=0))):
+            new = cost + (seen[i : i + lanes] != letters[i])
+            new[:-1] = np.minimum(new[:-1], cost[1:] + np.int16(1))
+            for j in range(1, lanes):
+                np.minimum(new[j], new[j - 1] + np.int16(1), out=new[j])
             cost = new
-            done = self.sizes[segment] == i + 1
-            if done.any():
-                result[done], lane[done] = cost[done].min(1), cost[done].argmin(1)
+            done = np.flatnonzero(sizes == i + 1)
+            if len(done):
+                result[done], lane[done] = cost[:, done].min(0), cost[:, done].argmin(0)
         return result, lane - width
 
     def matches(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:

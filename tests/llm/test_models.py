@@ -193,6 +193,44 @@ def test_band_counts_lose_no_match():
         assert any(m[0] == s for m in index.matches(code_points(text)))
 
 
+def test_excerpts_at_every_word_and_with_replaced_words():
+    from tests_llm_helpers import passages
+
+    bench = passages(51, 4, 60)
+    index = decontaminate.Index(list(enumerate(bench)))
+    filler = passages(52, 2, 40)
+
+    def found(part):
+        return {index.items[m[0]] for m in index.matches(code_points(f"{filler[0]} {part} {filler[1]}"))}
+
+    for item, text in enumerate(bench):
+        words = text.split()
+        for size in range(13, 21):
+            for start in range(0, len(words) - size + 1, 3):
+                assert found(" ".join(words[start : start + size])) == {item}
+        spoilt = [("zzzzz" if i % 12 == 5 else w) for i, w in enumerate(words)]
+        assert found(" ".join(spoilt)) == {item}
+    assert found(" ".join(filler[1].split()[::-1])) == set()
+
+
+def test_passages_of_a_text_without_spaces():
+    rnd = random.Random(13)
+    text = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(300))
+    index = decontaminate.Index([(7, text)])
+    for start in (0, 1, 17, 39, 41, 119, 220):
+        assert {index.items[m[0]] for m in index.matches(code_points("甲乙" + text[start : start + 80] + "丙丁"))} == {7}
+
+
+def test_segments_are_counted_in_pieces(monkeypatch):
+    from tests_llm_helpers import passages
+
+    index = decontaminate.Index(list(enumerate(passages(53, 3, 40))))
+    points = code_points(" ".join(t for _ in range(3) for t in passages(53, 3, 40)))
+    whole = sorted(index.matches(points))
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 50)
+    assert sorted(index.matches(points)) == whole
+
+
 def test_words_join_what_was_pulled_apart():
     assert toxicity.words("You s t u p i d fool, st.upid! m-o-r-o-n Ünïcode42x 7") == ["you", "stupid", "fool", "stupid", "moron", "ünïcodex"]
     assert toxicity.words("a b") == ["a", "b"] and toxicity.words(" 12 .") == []
