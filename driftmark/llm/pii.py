@@ -22,14 +22,14 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 64, 32  # characters of a window, and from one to the next
 HIDDEN, EMBED = 16, 12
 LEAST_PROBABILITY = 0.9  # of every character of a span that the network adds
-SAMPLE = 1500  # texts with patterns that training windows come from, about
+SAMPLE = 1500  # texts with spans of each kind that training windows come from, about
 
 # The patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -294,17 +294,41 @@ def train(texts: list[str], rounds: int = 250, batch: int = 64) -> Tagger | None
     return tagger
 
 
+def _base_matches(kind: str, text: Column) -> Column:
+    """The strings of text that are base spans of kind, as Spark finds them."""
+    found = F.regexp_extract_all(text, F.lit({"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[kind].pattern), F.lit(0))
+
+    def passes(m: Column) -> Column:
+        digits = F.regexp_replace(m, "[^0-9]", "")
+        if kind == "ip":
+            return F.forall(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+", "").try_cast("int").isNull() & p.rlike("^0+$") | (F.regexp_replace(p, "^0+", "").try_cast("int") <= 255))
+        return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits) if kind == "card" else F.length(digits).between(8, 15)
+
+    return found if kind == "email" else F.filter(found, passes)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
-    """A tagger from the base spans of docs' texts: of about sample texts that hold an @ or a + and a digit, by a hash.
+    """A tagger from the base spans of docs' texts: of each kind, from about sample texts that hold it, by a hash.
 
-    Of each text the stretches about those characters are used, so that what comes to the driver is bounded.
+    Of each text the stretches about the first 8 spans of that kind are used, and of each kind sample stretches, so that
+    what comes to the driver is bounded and no kind takes another's place.
     """
-    marked = docs.select("doc_id", F.col("text").cast("string")).filter(F.col("text").contains("@") | F.col("text").contains("+"))
-    n = marked.count()
-    share = F.lit(min(1.0, sample / max(1, n)) * (1 << 20))
-    rows = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select(F.xxhash64("text").alias("h"), F.regexp_extract_all("text", F.lit(r"(?s).{0,80}[@+].{0,120}"), F.lit(0)).alias("parts"))
-    parts = rows.select("h", F.explode(F.slice("parts", 1, 8)).alias("part")).orderBy("h", "part").limit(4 * sample)
-    return train([r["part"] for r in parts.collect()])
+    signs = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+"), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike(r"[0-9]([\x20-]?[0-9]){15}")}
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    spans = texts.select("doc_id", "text", *(F.when(signs[k], _base_matches(k, F.col("text"))).alias(k) for k in KINDS))
+    n = spans.agg(*(F.count_if(F.size(k) > 0).alias(k) for k in KINDS)).first()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+
+    def cut(m: Column) -> Column:
+        start = F.greatest(F.position(m, F.col("text")) - 80, F.lit(1))
+        return F.substring(F.col("text"), start, F.length(m) + 200)
+
+    chosen = (F.when(place < min(1.0, sample / max(1, n[k])) * (1 << 20), F.struct(F.lit(k).alias("kind"), F.transform(F.slice(k, 1, 8), cut).alias("parts"))) for k in KINDS)
+    rows = spans.select(F.xxhash64("text").alias("h"), F.explode(F.array(*chosen)).alias("c")).filter("size(c.parts) > 0")
+    parts = rows.select("h", "c.kind", F.explode("c.parts").alias("part"))
+    first = Window.partitionBy("kind").orderBy("h", "part")
+    parts = parts.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample).orderBy("h", "kind", "place")
+    return train([r["part"] for r in parts.select("part", "h", "kind", "place").collect()])
 
 
 def stretches(text: str) -> list[tuple[int, int]]:

@@ -82,6 +82,19 @@ def test_tagger_adds_spellings_and_leaves_others_alone(spark):
     assert pii.personal_data(df.limit(0), tagger).count() == 0 and pii.personal_data(df, None).count() == len(rows)
 
 
+def test_every_kind_is_learned_from_texts_of_its_own(spark, monkeypatch):
+    """No text holds two kinds; emails are many; cards and addresses stand far from any @ or +."""
+    made = {"email": "mail a.{0}@b.example.com now", "ip": "host 10.0.0.{0} is up", "card": "paid with 4111 1111 1111 1111 today {0}", "phone": "call +1 (22) 333-4{0}44 now"}
+    rows = [(i, ("filler " * 60) + made["email"].format(i % 90 + 10)) for i in range(300)]
+    rows += [(1000 + 100 * n + i, ("filler " * 60) + made[k].format(i + 10)) for n, k in enumerate(("ip", "card", "phone")) for i in range(40)]
+    rows += [(5000, None), (5001, ""), (5002, "1.2.3.999 and 4111 1111 1111 1112"), (None, "no data")]
+    monkeypatch.setattr(pii, "train", lambda parts: parts)
+    parts = pii.learn(spark.createDataFrame(rows, "doc_id long, text string"), 100)
+    counts = {k: sum(bool(pii.base_spans(p)[k]) for p in parts) for k in pii.KINDS}
+    assert counts["ip"] == counts["card"] == counts["phone"] == 40 and 50 < counts["email"] <= 100
+    assert len(parts) == sum(counts.values())
+
+
 def test_reconciled_keeps_the_deepest():
     assert pii.reconciled([(0, 5, 10, 1), (0, 4, 12, 9), (3, 20, 30, 2)]) == [(0, 4, 12), (3, 20, 30)]
 
