@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, pii, simhash, suffix_dedup, token_files, toxicity
+from driftmark.llm import (
+    conversation_trie,
+    decontaminate,
+    exact_dedup,
+    langid,
+    line_dedup,
+    merges,
+    oracles,
+    packing,
+    part_codes,
+    pii,
+    simhash,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
+from driftmark.llm.work import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +90,29 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt on shared heads."""
+    return conversation_trie.rebuilt_trie(_table(spark, folder, "conversations"))
+
+
+def op12_merges(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    found = merges.decoded(merges.encoded(_table(spark, folder, "documents")))
+    n_tokens = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
+    return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_part_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors with codebooks learned from all of them."""
+    kept = part_codes.integer_vectors(_table(spark, folder, "embeddings"))
+    books = part_codes.learn(kept)
+    if books is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    found = part_codes.with_label_errors(stored(part_codes.coded(kept, books), "part-codes"))
+    digest = F.lit(hashlib.sha256(part_codes.books_text(books).encode()).hexdigest())
+    return found.select("vec_id", part_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,9 +124,14 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_suffix_array": op9_suffix_array,
     "op10_simhash": op10_simhash,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_merges": op12_merges,
+    "op13_part_codes": op13_part_codes,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op13_part_codes": oracles.part_codes(),
     "op2_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(length(text), 0) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
