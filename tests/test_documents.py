@@ -124,10 +124,8 @@ def test_reading_snapshot_files(spark, fixtures):
 
 
 @pytest.fixture(scope="module")
-def events(spark):
-    from conftest import FIXTURES
-
-    rows = snapshots.index_entries(snapshots.read_snapshot_files(spark, f"{FIXTURES}/snapshots"))
+def events(spark, fixtures):
+    rows = snapshots.index_entries(snapshots.read_snapshot_files(spark, f"{fixtures}/snapshots"))
     old = rows.filter("snapshot_id like '%20260601%'").select("entity_id", F.col("doc").alias("before"))
     new = rows.filter("snapshot_id like '%20260602%'").select("entity_id", F.col("doc").alias("after"))
     pairs = old.join(new, "entity_id", "full_outer")

@@ -20,17 +20,13 @@ KINDS = ("health_apps", "catalog_entries", "manufacturers", "modules", "prescrip
 
 
 @pytest.fixture(scope="module")
-def landed(spark):
-    from conftest import FIXTURES
-
-    return {k: bundles.read_bundles(spark, f"{FIXTURES}/bundles/{k}_*.json").persist() for k in KINDS}
+def landed(spark, fixtures):
+    return {k: bundles.read_bundles(spark, f"{fixtures}/bundles/{k}_*.json").persist() for k in KINDS}
 
 
 @pytest.fixture(scope="module")
-def tables(spark, landed):
-    from conftest import FIXTURES
-
-    directory = sitemap.read_sitemap(spark, f"{FIXTURES}/sitemap.xml")
+def tables(spark, landed, fixtures):
+    directory = sitemap.read_sitemap(spark, f"{fixtures}/sitemap.xml")
     return A.assemble(landed, directory)
 
 
