@@ -16,6 +16,7 @@ one text count once), and those whose first four letters do; words of texts labe
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -37,6 +38,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000  # labelled texts the model is learned f
 STEM = 4  # letters of a word's beginning
 HARD_WORDS = 2000  # clean words a first model takes for the most toxic, which the next one learns as well
 MOST_WORDS = 4000  # words of either kind the machine is trained on
+LEAST_RATIO = 20  # of a toxic word's share of toxic contexts to its share of clean ones
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
 
@@ -175,13 +177,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rate = bad_all / (bad_all + (good_all or 0))
     all_ = F.col("bad") + F.col("good")
     gain = F.col("bad") * F.log(F.col("bad") / (all_ * rate)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (all_ * (1 - rate)))).otherwise(0.0)
-    strong = seen.filter(F.col("bad") > 3 * all_ * rate).withColumn("gain", gain).filter(F.col("gain") > float(np.log(n) + 1)).filter(F.col("good") * 20 <= F.col("bad"))
+    # Shares of each label's own contexts, so that the labels' balance decides nothing.
+    odds = float(good_all or 1) / float(bad_all)
+    strong = seen.filter(F.col("bad") * odds >= LEAST_RATIO * F.col("good")).withColumn("gain", gain).filter(F.col("gain") > float(np.log(n) + 1))
     stems = strong.filter("word like '^%'").orderBy(F.desc("gain"), "word").limit(MOST_WORDS).select(F.substring("word", 2, STEM).alias("stem"))
     begun = seen.filter((F.col("good") == 0) & (F.length("word") > STEM) & ~F.col("word").like("^%")).withColumn("stem", F.substring("word", 1, STEM))
     begun = begun.join(F.broadcast(stems), "stem", "left_semi").select("word", F.col("bad").cast("double").alias("gain"))
     toxic = strong.filter("word not like '^%'").select("word", "gain").unionByName(begun).groupBy("word").agg(F.max("gain").alias("gain"))
     toxic = [r["word"] for r in toxic.orderBy(F.desc("gain"), "word").limit(MOST_WORDS).collect()]
-    clean = seen.filter("good > 0 and word not like '^%'").filter(F.col("good") * 2 > F.col("bad"))
+    clean = seen.filter("good > 0 and word not like '^%'").filter(F.col("good") * 2 > F.col("bad") * odds)
+    if not toxic:
+        warnings.warn("labelled texts teach no toxic word: every text will be scored as clean", stacklevel=2)
     frequent = [r["word"] for r in clean.orderBy(F.desc("good"), "word").limit(MOST_WORDS // 4).collect()]
     others = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS).collect()]
     taught = set(frequent) | set(others)
