@@ -16,17 +16,23 @@ def folded_letters(digits: bool) -> np.ndarray:
     """Lower-case code point of each letter (with digits, of each digit too) of the basic plane, and 32 for all else."""
     table = np.full(1 << 16, 32, np.uint32)
     for i in range(1 << 16):
-        c = chr(i)
-        if c.isalpha() or digits and c.isalnum():
-            low = c.lower()
-            table[i] = ord(low[0])
+        table[i] = _folded(i, digits)
     return table
 
 
+def _folded(point: int, digits: bool) -> int:
+    c = chr(point)
+    return ord(c.lower()[0]) if c.isalpha() or digits and c.isalnum() else 32
+
+
 def folded(points: np.ndarray, digits: bool) -> np.ndarray:
-    """Lower-case letters (and digits); 32 stands for any other character. Code points above the basic plane count as letters."""
-    table = folded_letters(digits)
-    return np.where(points < 1 << 16, table[np.minimum(points, (1 << 16) - 1)], points)
+    """Lower-case letters (and digits) of all planes; 32 stands for any other character."""
+    out = folded_letters(digits)[np.minimum(points, (1 << 16) - 1)]
+    high = points >= 1 << 16
+    if high.any():
+        distinct, place = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([_folded(int(p), digits) for p in distinct], np.uint32)[place]
+    return out
 
 
 def grams(points: np.ndarray, n: int) -> np.ndarray:
