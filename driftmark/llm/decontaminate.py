@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftmark.llm.chars import code_points, folded, grams
 from driftmark.llm.tokens import slices
-from driftmark.llm.work import give_back
+from driftmark.llm.work import bound_batches, give_back
 
 Q = 8
 WORDS = 13  # of a segment
@@ -222,6 +222,7 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found under each. Empty tables give no rows. Other columns are not read. The benchmark is compared in blocks of
     bounded size, one pass over the documents for each, so what is sent to the executors doesn't grow with it.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.llm.chars import code_points, folded, grams
-from driftmark.llm.work import give_back
+from driftmark.llm.work import bound_batches, give_back
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3)  # of n-grams
@@ -149,5 +149,6 @@ def accepted(docs: DataFrame, least_score: float) -> DataFrame:
 
     Profiles are learned from docs' own lang values; if there are none, all rows stay. All columns are kept.
     """
+    bound_batches(docs.sparkSession)
     profiles = learn(docs.filter(~held_out(F.col("doc_id"))))
     return docs.mapInArrow(partial(_accept, profiles=profiles, least_score=least_score), docs.schema) if profiles.langs else docs

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.tokens import END_ID, encoded_texts, encoder
+from driftmark.llm.work import bound_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -44,23 +45,23 @@ class Limits:
 class Piece:
     doc_id: int | None
     ids: np.ndarray
-    bears_loss: np.ndarray  # running count of loss-bearing ids, one longer than ids
+    free: int  # leading ids that bear no loss
     start: int
     doc_tokens: int
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
         return (
-            Piece(self.doc_id, self.ids[:n], self.bears_loss[: n + 1], self.start, self.doc_tokens),
-            Piece(self.doc_id, self.ids[n:], self.bears_loss[n:], self.start + n, self.doc_tokens),
+            Piece(self.doc_id, self.ids[:n], min(self.free, n), self.start, self.doc_tokens),
+            Piece(self.doc_id, self.ids[n:], max(self.free - n, 0), self.start + n, self.doc_tokens),
         )
 
     @property
     def loss(self) -> int:
-        return int(self.bears_loss[-1] - self.bears_loss[0])
+        return len(self.ids) - self.free
 
     def most(self, tokens: int, loss: int) -> int:
         """How many of the first ids stay within both numbers."""
-        return min(tokens, len(self.ids), int(np.searchsorted(self.bears_loss, self.bears_loss[0] + loss, "right")) - 1)
+        return min(tokens, len(self.ids), self.free + loss)
 
 
 class Packer:
@@ -73,11 +74,12 @@ class Packer:
         limits = self.limits
         while len(piece.ids) >= limits.tokens or piece.loss > limits.loss_tokens:
             n = piece.most(limits.tokens, limits.loss_tokens)
-            if not n:
+            if n < 1:
                 raise ValueError("a sequence must have room for one loss-bearing token")
             full, piece = piece.cut(n)
             self.emit([full])
         if len(piece.ids):
+            piece.ids = piece.ids.copy()  # a view would keep the whole slice's ids while it waits
             self.waiting.append(piece)
         if len(self.waiting) >= limits.pool:
             self._fill(limits.tokens)
@@ -144,8 +146,7 @@ def _pack(batches: Iterable[pa.RecordBatch], limits: Limits, path: str | None, w
         for doc_id, ids, prompt in zip(batch.column("doc_id").to_pylist(), arrays, prompts):
             asked = encoder(path).encode(pa.array([prompt], pa.string()))[0] if prompt else ids[:0]
             ids = np.concatenate([asked, ids]) if len(asked) else ids
-            bears = np.maximum(np.arange(len(ids) + 1) - len(asked), 0)
-            packer.add(Piece(doc_id, ids, bears, 0, len(ids)))
+            packer.add(Piece(doc_id, ids, len(asked), 0, len(ids)))
         yield from flush()
     packer.finish()
     yield from flush()
@@ -159,6 +160,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, pr
     alone; null and repeated doc_ids are packed like any other; other columns are not read; an empty table
     gives no rows. with_ids adds the ids themselves.
     """
+    bound_batches(docs.sparkSession)
     columns = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
     if prompt:
         columns.append(F.col(prompt).cast("string").alias("prompt"))

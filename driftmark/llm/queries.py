@@ -24,12 +24,13 @@ from driftmark.llm import (
     token_files,
     toxicity,
 )
-from driftmark.llm.work import stored
+from driftmark.llm.work import bound_batches, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.graph import components
-from driftmark.llm.work import give_back, stored
+from driftmark.llm.work import bound_batches, give_back, stored
 
 RADIUS = 3
 WORDS = 3  # of a shingle
@@ -349,6 +349,7 @@ def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: floa
     tiles of neighbouring sizes are compared. Empty and null texts are one group; rows without doc_id always stay;
     rows that repeat a doc_id stay or go together. All columns are kept; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(-np.log(similarity))).cast("int")
     prints = fingerprints(known, words, COPY_WIDTH).select("doc_id", "row", "bits", size.alias("size"))

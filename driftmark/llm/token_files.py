@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.llm.tokens import encoded_texts
+from driftmark.llm.work import bound_batches
 from driftmark.session import new_work_dir
 
 MAGIC = b"DMIDS001"
@@ -140,6 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, tok
     Null texts are empty; each document ends with id 2. Null doc_ids come first; rows of the same doc_id are all
     written, in order of text. Other columns are not read. An empty table gives a manifest without rows.
     """
+    bound_batches(docs.sparkSession)
     files, root = pyarrow.fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
