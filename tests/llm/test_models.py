@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftmark.llm import decontaminate, langid, pii, toxicity
 from driftmark.llm.chars import code_points
@@ -292,6 +293,55 @@ def test_toxicity_on_held_out_texts(spark, empty):
     assert toxicity.scored(empty, toxicity.learn(empty, marks.limit(0)), "doc_id").count() == 0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.33, 0.5, 0.8])
+def test_toxicity_at_any_balance_of_labels(spark, share):
+    rnd = random.Random(6)
+    from tests_llm_helpers import passages
+
+    common = list(dict.fromkeys(" ".join(passages(71, 4, 300)).split()))
+    bad = ["stupid", "moron", "worthless", "disgusting"]
+    rows, labels = [], []
+    for i in range(600):
+        words = [rnd.choice(common) for _ in range(40)]
+        toxic = rnd.random() < share
+        if toxic:
+            for _ in range(3):
+                words.insert(rnd.randrange(40), rnd.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(toxicity.teachable(docs), toxicity.teachable(marks))
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, model, "doc_id").collect()}
+    found = [got[i] for i, t in labels if t]
+    flagged = [got[i] for i, t in labels if not t]
+    assert sum(found) >= 0.98 * len(found) and sum(flagged) <= 0.02 * len(flagged)
+
+
+def test_toxic_labels_that_teach_nothing_are_reported(spark):
+    docs = spark.createDataFrame([(i, "all the same words") for i in range(40)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="no toxic word"):
+        model = toxicity.learn(docs, marks)
+    assert {r.predicted for r in toxicity.scored(docs, model, "doc_id").collect()} == {0}
+
+
+def test_signs_of_every_plane_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "the quick brown fox and the lazy dog " * 20, "en") for i in range(8)], "doc_id long, text string, lang string")
+    profiles = langid.learn(docs)
+    assert langid.predict("\U0001f600\U0001f600 \U0001f389", profiles)[0] == "und" and langid.predict("𝔘𝔫𝔦 the", profiles)[0] == "en"
+
+
+def test_long_runs_do_not_overflow_the_pattern_engine(spark):
+    rnd = random.Random(8)
+    texts = ["1" * 20_000, "a@" + ".bc" * 6000, "+" + "1 " * 9000 + "1", "4" + " 4" * 15_000, "1.1" * 9000]
+    texts += [f"write to user{i}@mail{i}.example.org or call +49 30 {rnd.randrange(10**7, 10**8)}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {k: [r[0] for r in docs.orderBy("doc_id").select(pii._base_matches(k, F.col("text"))).collect()] for k in pii.KINDS}
+    assert found == {k: [[t[a:b] for a, b in pii.base_spans(t)[k]] for t in texts] for k in pii.KINDS}
+    assert pii.learn(docs) is not None
+
+
 def test_a_row_slice_never_loses_rows(rows):
     from driftmark.llm.tokens import slices
 
