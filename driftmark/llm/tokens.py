@@ -7,6 +7,7 @@ another. Each segment the library has encoded is remembered, since most segments
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +21,7 @@ from driftmark.llm.work import give_back
 END_ID = 2
 #: Lower-case letters that normalising leaves as they are, then ASCII marks: one or two pieces for the vocabulary's rules.
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-SLICE_BYTES = 1 << 20  # text handled at once
+SLICE_BYTES = 1 << 19  # text handled at once
 CACHE_SEGMENTS = 200_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
 
 
@@ -39,6 +40,8 @@ class SegmentEncoder:
     """
 
     def __init__(self, path: str | None = None, cache_segments: int = CACHE_SEGMENTS):
+        # Tasks are the parallelism; the library's own threads would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         path = path or default_path()
