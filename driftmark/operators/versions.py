@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.operators.skew import OrderedKeys, lookup_join
+from driftmark.session import new_work_dir
 
 
 def consecutive_versions(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], **skew) -> DataFrame:
@@ -27,41 +28,52 @@ def latest_snapshots(snapshots: DataFrame, limit: int = 2) -> DataFrame:
     return snapshots.orderBy(F.desc("snapshot_id")).limit(limit)
 
 
-def nearest_version(
-    events: DataFrame, ts: str, marks: DataFrame, mark_ts: str, mark_id: str, bucket: str = "1 day", **skew
-) -> DataFrame:
-    """As-of join to the mark with the smallest absolute distance; on a tie the earlier mark.
+def marks_around(times: DataFrame, marks: DataFrame) -> DataFrame:
+    """`(t, earlier, later)` of distinct times `(t)`: the last mark `(t, id)` at or before each and the first at or after it.
 
-    Two neighbouring marks bound a stretch of time, and an event only has to choose between the
-    two.  Stretches are laid out over fixed time buckets and events join on their bucket: an
-    equi-join in which an event meets only the few stretches of its own bucket, and a bucket with
-    very many events is spread.  Events outside
-    the marks' span are moved to its edge for the lookup, which leaves the nearest mark the same.
+    A prefix scan: times and marks are laid out in one order over range partitions, each of which fills in its own
+    marks; what reaches over a border is carried along one row per partition. No time meets more than two marks.
     """
-    points = marks.groupBy(F.unix_micros(F.col(mark_ts).cast("timestamp")).alias("__hi")).agg(F.min(mark_id).alias("__id"))
-    stretches = OrderedKeys(points.withColumn("__all", F.lit(0)), ["__all"], ["__hi"], **skew).lag(["__hi", "__id"], "__prev")
-    width = F.lit(_bucket_micros(bucket))
-    start = F.coalesce(F.col("__prev.__hi") + 1, F.col("__hi"))
-    slots = stretches.select(
-        "__prev", "__hi", "__id", start.alias("__lo"),
-        F.explode(F.sequence(F.floor(start / width), F.floor(F.col("__hi") / width))).alias("__slot"),
+    mark = F.struct("t", "id")
+    laid = times.select("t", F.lit(None).cast("struct<t:bigint,id:string>").alias("mark"), F.lit(True).alias("asked")).unionByName(
+        marks.select("t", mark.alias("mark"), F.lit(False).alias("asked"))
     )
-    span = points.agg(F.min("__hi").alias("lo"), F.max("__hi").alias("hi"))
-    low, high = span.select("lo").scalar(), span.select("hi").scalar()
-    at = F.when(F.col(ts).isNotNull(), F.least(F.greatest(F.unix_micros(F.col(ts).cast("timestamp")), low), high))
-    placed = events.withColumn("__at", at).withColumn("__slot", F.floor(F.col("__at") / width))
-    met = lookup_join(placed, slots, ["__slot"], "left", salt_by=events.columns).filter(
-        F.col("__lo").isNull() | F.col("__at").between(F.col("__lo"), F.col("__hi"))
+    # Stored with its partition's number, so that both readers see one and the same partitioning.
+    folder = new_work_dir(times.sparkSession, "marks-around")
+    laid.repartitionByRange("t").withColumn("part", F.spark_partition_id()).write.parquet(folder)
+    placed = times.sparkSession.read.schema("t bigint, mark struct<t:bigint,id:string>, asked boolean, part int").parquet(folder)
+    ends = placed.groupBy("part").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+    by_part = Window.orderBy("part")  # a row per partition
+    carried = ends.select(
+        "part",
+        F.last("last", True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     )
-    earlier = (F.col("__at") - F.col("__prev.__hi")) <= (F.col("__hi") - F.col("__at"))
-    chosen = F.when(earlier, F.col("__prev.__id")).otherwise(F.col("__id"))
-    return met.withColumn(mark_id, chosen).drop("__at", "__slot", "__lo", "__hi", "__prev", "__id")
+    own = Window.partitionBy("part").orderBy("t")
+    scanned = placed.select(
+        "part", "t", "asked", F.last("mark", True).over(own).alias("earlier"),
+        # From the far end, so that one pass with a growing frame does.
+        F.last("mark", True).over(Window.partitionBy("part").orderBy(F.desc("t"))).alias("later"),
+    )
+    found = scanned.filter("asked").join(F.broadcast(carried), "part", "left")
+    return found.select("t", F.coalesce("earlier", "before").alias("earlier"), F.coalesce("later", "after").alias("later"))
+
 
+def nearest_version(events: DataFrame, ts: str, marks: DataFrame, mark_ts: str, mark_id: str, **skew) -> DataFrame:
+    """As-of join to the mark with the smallest absolute distance; on a tie the earlier mark, of marks of one time the least id.
 
-def _bucket_micros(text: str) -> int:
-    number, unit = text.split()
-    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-    return int(number) * seconds * 1_000_000
+    The nearest mark depends on the time alone, so distinct times are looked up, and events of a time that very many share
+    are spread. Events without a time, and all events if there is no mark, get null.
+    """
+    kind = dict(marks.dtypes)[mark_id]
+    points = marks.groupBy(F.unix_micros(F.col(mark_ts).cast("timestamp")).alias("t")).agg(F.min(mark_id).cast("string").alias("id")).filter("t is not null")
+    timed = events.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
+    times = timed.select(F.col("__t").alias("t")).filter("t is not null").distinct()
+    around = marks_around(times, points)
+    closer = F.col("later").isNull() | (F.col("t") - F.col("earlier.t") <= F.col("later.t") - F.col("t"))
+    chosen = F.when(F.col("earlier").isNotNull() & closer, F.col("earlier.id")).otherwise(F.col("later.id"))
+    looked_up = around.select(F.col("t").alias("__t"), chosen.cast(kind).alias(mark_id))
+    return lookup_join(timed, looked_up, ["__t"], "left", salt_by=events.columns, **skew).drop("__t")
 
 
 def distance_seconds(left: Column, right: Column) -> Column:

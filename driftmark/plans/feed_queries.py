@@ -32,15 +32,40 @@ def version_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return _transition_columns(user_versions(spark, folder))
 
 
-@query("stream_change_feed", TRANSITIONS_SQL)
-def stream_change_feed(spark: SparkSession, folder: str) -> DataFrame:
-    """The same transitions, computed by the streaming feed over the arriving rows."""
+def _fed(spark: SparkSession, folder: str, slices: int = 4, bucket_rows: int = 200) -> str:
+    """The events arrive in slices of time, a micro-batch each; the folder the feed wrote to."""
     root = new_work_dir(spark, "stream")
-    schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet").select("user_id", *VERSION_COLUMNS)
-    running = change_feed.start_change_feed(stream, root, f"{root}/checkpoint", "user_id", ["ts", "event_id"], VERSION_COLUMNS)
+    events = table(spark, folder, "events").select("user_id", *VERSION_COLUMNS)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(at.alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.01)
+    files = 2  # of a slice, and so of a micro-batch
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        events.filter(inside).repartition(files, "user_id").write.mode("append").parquet(f"{root}/arrived")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/arrived")
+    running = change_feed.start_change_feed(
+        stream, root, f"{root}/checkpoint", "user_id", ["ts", "event_id"], VERSION_COLUMNS, bucket_rows=bucket_rows
+    )
     running.awaitTermination()
-    return _transition_columns(change_feed.read_transitions(spark, root))
+    return root
+
+
+@query("stream_change_feed", TRANSITIONS_SQL)
+def stream_change_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same transitions, computed by the streaming feed over rows that arrive in four micro-batches."""
+    return _transition_columns(change_feed.read_transitions(spark, _fed(spark, folder)))
+
+
+@query(
+    "stream_last_versions",
+    "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id",
+)
+def stream_last_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed's keyed state after its last micro-batch."""
+    root, kinds = _fed(spark, folder), dict(table(spark, folder, "events").dtypes)
+    columns = ", ".join(f"{c}:{kinds[c]}" for c in VERSION_COLUMNS)
+    known = change_feed.last_known(spark, root, "user_id", kinds["user_id"], columns)
+    return known.select("user_id", "version.event_id", "version.ts")
 
 
 def _daily_snapshots(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Arriving data drives it instead of a schedule, in one of two modes.
 
 *Versions*: each micro-batch of version rows is compared with the last known version of its
-entities; transitions and new last versions are written under the batch id, so a batch that is run
-again replaces what it wrote.
+entities, which `KeyedState` keeps in buckets: a batch reads and rewrites the buckets of its own entities and no
+others. Transitions, new versions and what the batch read are written under the batch id, so a batch that is
+run again replaces what it wrote.
 
 *Snapshots*: each snapshot that arrived as a whole is scanned against its stored predecessor, under
 its snapshot id.
@@ -22,15 +23,7 @@ from driftmark.operators.skew import OrderedKeys
 from driftmark.plans import monitor
 from driftmark.presets import DEFAULT, Profile
 from driftmark.sources import snapshots
-
-
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+from driftmark.streaming.keyed_state import BUCKET_ROWS, KeyedState
 
 
 def batch_transitions(batch: DataFrame, known: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], **skew) -> DataFrame:
@@ -42,7 +35,8 @@ def batch_transitions(batch: DataFrame, known: DataFrame, entity: str, order: Se
     inside = OrderedKeys(batch, [entity], order, **skew).lag(columns, "previous")
     first = inside.filter("previous is null").drop("previous")
     rest = inside.filter("previous is not null")
-    return rest.unionByName(first.join(known.withColumnRenamed("version", "previous"), entity, "left"))
+    of_known = known.select(F.col(entity).alias("__entity"), F.col("version").alias("previous"))
+    return rest.unionByName(first.join(of_known, F.col(entity).eqNullSafe(F.col("__entity")), "left").drop("__entity"))
 
 
 def last_versions(batch: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -50,34 +44,35 @@ def last_versions(batch: DataFrame, entity: str, order: Sequence[str], columns:
 
 
 def start_change_feed(
-    stream: DataFrame, root: str, checkpoint: str, entity: str, order: Sequence[str], columns: Sequence[str], compact_every: int = 20, **skew
+    stream: DataFrame,
+    root: str,
+    checkpoint: str,
+    entity: str,
+    order: Sequence[str],
+    columns: Sequence[str],
+    bucket_rows: int = BUCKET_ROWS,
+    **skew,
 ) -> StreamingQuery:
-    """Start the feed: transitions go to `<root>/transitions`, last versions to `<root>/state`.
+    """Start the feed: transitions go to `<root>/transitions`, last versions to `<root>/state`, costs to `<root>/costs`.
 
     Versions of one entity have to arrive in version order across batches (inside a batch any
-    order will do).  State is appended per batch and rewritten as a whole every `compact_every`
-    batches, so a batch reads at most that many pieces.
+    order will do).
     """
     kinds = dict(stream.dtypes)
-    version = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in columns) + ">"
-    state_schema = f"{entity} {kinds[entity]}, version {version}, batch_id bigint"
-
-    def latest_state(spark: SparkSession, before: int) -> DataFrame:
-        stored = _stored(spark, f"{root}/state", state_schema).filter(F.col("batch_id") < before)
-        floor = (before - 1) // compact_every * compact_every if before > 0 else 0
-        recent = stored.filter(F.col("batch_id") >= floor)
-        return recent.groupBy(entity).agg(F.max_by("version", "batch_id").alias("version"))
+    version = "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in columns) + ">"
+    state = KeyedState(stream.sparkSession, f"{root}/state", kinds[entity], version, bucket_rows)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = latest_state(spark, batch_id)
-        touched = known.join(batch.select(entity).distinct(), entity, "left_semi")
-        transitions = batch_transitions(batch, touched, entity, order, columns, **skew)
+        kept = batch.persist()
+        fresh = last_versions(kept, entity, order, columns).withColumnRenamed(entity, "key").withColumnRenamed("version", "value")
+        buckets = state.touched(fresh, batch_id)
+        known = state.read(buckets).select(F.col("key").alias(entity), F.col("value").alias("version"))
+        transitions = batch_transitions(kept, known, entity, order, columns, **skew)
         transitions.write.mode("overwrite").parquet(f"{root}/transitions/batch_id={batch_id}")
-        fresh = last_versions(batch, entity, order, columns)
-        if batch_id and batch_id % compact_every == 0:
-            fresh = fresh.unionByName(known.join(fresh.select(entity), entity, "left_anti"))
-        fresh.write.mode("overwrite").parquet(f"{root}/state/batch_id={batch_id}")
+        state.write(batch_id, fresh, buckets)
+        cost = state.spark.range(1).select(F.lit(len(buckets)).alias("buckets_read"), F.lit(sum(b.rows for b in buckets)).cast("bigint").alias("rows_read"))
+        cost.coalesce(1).write.mode("overwrite").parquet(f"{root}/costs/batch_id={batch_id}")
+        kept.unpersist()
 
     return (
         stream.writeStream.foreachBatch(on_batch)
@@ -87,6 +82,17 @@ def start_change_feed(
     )
 
 
+def last_known(spark: SparkSession, root: str, entity: str, kind: str, columns: str) -> DataFrame:
+    """`(entity, version)` of every entity the feed has seen; kind and columns are the DDL types of the entity and its version."""
+    state = KeyedState(spark, f"{root}/state", kind, f"struct<{columns}>")
+    return state.all().select(F.col("key").alias(entity), F.col("value").alias("version"))
+
+
+def read_costs(spark: SparkSession, root: str) -> DataFrame:
+    """`(batch_id, buckets_read, rows_read)`: how much of the state each batch read."""
+    return spark.read.option("basePath", f"{root}/costs").parquet(f"{root}/costs").select(F.col("batch_id").cast("bigint"), "buckets_read", "rows_read")
+
+
 def read_transitions(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/transitions").parquet(f"{root}/transitions").drop("batch_id")
 

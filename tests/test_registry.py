@@ -215,7 +215,7 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "id long, entity long, at long, value string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{landing}/part=*")
     root = str(tmp_path / "feed")
-    query = change_feed.start_change_feed(stream, root, f"{root}/cp", "entity", ["at", "id"], ["id", "value"], compact_every=2, min_rows=10, parts=20)
+    query = change_feed.start_change_feed(stream, root, f"{root}/cp", "entity", ["at", "id"], ["id", "value"], bucket_rows=2, min_rows=10, parts=20)
     query.awaitTermination()
     got = {(r.id, r.previous.id if r.previous else None) for r in change_feed.read_transitions(spark, root).collect()}
     batch = G.consecutive_versions(spark.createDataFrame(rows, schema), "entity", ["at", "id"], ["id", "value"])

@@ -74,7 +74,7 @@ def test_nearest_version_by_brute_force(spark, skew):
     events = [(i, rnd.randint(-(10**5), 11 * 10**5)) for i in range(400)] + [(1000, None)]
     ms = spark.createDataFrame(marks, "s long, sid string").select(F.timestamp_seconds("s").alias("m"), "sid")
     es = spark.createDataFrame(events, "e int, s long").select("e", F.timestamp_seconds("s").alias("t"))
-    got = {r.e: r.sid for r in nearest_version(es, "t", ms, "m", "sid", bucket="6 hours", **skew).collect()}
+    got = {r.e: r.sid for r in nearest_version(es, "t", ms, "m", "sid", **skew).collect()}
     for e, t in events:
         want = None if t is None else min((abs(t - m), m, s) for m, s in marks)[2]
         assert got[e] == want
