@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark import presets
 from driftmark.functions import money as M
 from driftmark.functions import text as X
 from driftmark.operators import assembly as A
 from driftmark.operators import events as E
+from driftmark.operators import feed as B
+from driftmark.operators import moved
 from driftmark.operators import textdiff as W
 from driftmark.plans.registry import query, table
 from driftmark.plans.versions_of_tables import CHANGED_TEXTS_SQL, changed_texts
+from driftmark.presets import DEFAULT
 
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 
@@ -134,6 +138,42 @@ def moved_text_suppression(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", E.moved_text(W.removed_runs(F.col("runs")), blob).alias("moved"))
 
 
+@query(
+    "moved_events_on_read",
+    f"""WITH d AS (SELECT doc_id, lang, {_clean('text')} AS text FROM documents),
+w AS (SELECT *, len(string_split(text, ' ')) AS n FROM d),
+m AS (SELECT doc_id, n >= 20 AND lang IN ('en', CASE doc_id % 2 WHEN 0 THEN 'de' ELSE 'fr' END) AS moved FROM w)
+SELECT doc_id AS seq, moved, NOT moved AS shown FROM m""",
+)
+def moved_events_on_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored events in which the whole text leaves the evidence field, judged by the nearest of two snapshots.
+
+    The text is among the descriptions of English entities in both snapshots, of German ones in the first and of French ones
+    in the second; events know their entity by id, name or address, in other case than the snapshots.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "lang", X.clean_text(F.col("text")).alias("text"))
+    key, even = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
+    name, url = F.concat(F.lit("Entity "), key), F.concat(F.lit("https://entities.example/"), key)
+    events = docs.select(
+        F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ID-"), key)).alias("entity_id"),
+        F.when(F.col("doc_id") % 3 == 1, F.upper(name)).alias("entity_name"), F.when(F.col("doc_id") % 3 == 2, F.upper(url)).alias("entity_url"),
+        F.lit(DEFAULT.evidence_field).alias("field"), F.lit(presets.TEXT).alias("change_type"),
+        F.concat_ws(" ", "text", F.lit("Fazit")).alias("before"), F.lit("Fazit").alias("after"),
+        F.when(even, "2026-06-01T09:00:00+00:00").otherwise("2026-06-02T07:00:00+00:00").alias("current_snapshot_ts"),
+    )
+    shots = spark.createDataFrame([("s1", "2026-06-01T08:00:00"), ("s2", "2026-06-02T08:00:00")], "snapshot_id string, at string")
+    shots = shots.select("snapshot_id", F.to_timestamp("at").alias("taken_at"))
+    both = docs.withColumn("snapshot_id", F.explode(F.array(F.lit("s1"), F.lit("s2"))))
+    stays = F.col("lang").isin("en") | (F.col("lang") == F.when(F.col("snapshot_id") == "s1", "de").otherwise("fr"))
+    doc = F.struct(F.struct(F.when(stays, F.concat_ws(" ", F.lit("Über:"), "text", F.lit("Ende"))).otherwise("Ende").alias("activity")).alias("descriptive_texts"))
+    entries = both.select(
+        "snapshot_id", F.col("doc_id").alias("pos"), F.concat(F.lit("id-"), key).alias("entity_id"), F.lit(None).cast("string").alias("identifier"),
+        name.alias("entity_name"), url.alias("entity_url"), F.to_variant_object(doc).alias("doc"),
+    )
+    marked = moved.mark_moved(events, shots, entries)
+    return marked.select("seq", "moved", B.is_real(marked).alias("shown"))
+
+
 @query(
     "description_blobs",
     rf"""SELECT doc_id, md5(trim(regexp_replace(lower(source || ' ' || text), '{SPACE}', ' ', 'g'))) AS blob_md5 FROM documents""",
