@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 MAP = "map<string,variant>"
 LIST = "array<variant>"
-# A JSON string, which stays, or a number written with a fraction of zero; strings are matched first, so their content is safe.
-WHOLE_NUMBER = r'("(?:[^"\\]++|\\.)*+")|(-?\d+)\.0(?=[,\]}]|$)'
+# Pieces of a JSON text: strings, numbers, and what stands between them.
+PIECES = r'"(?:[^"\\]++|\\.)*+"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[^"\d-]++'
+UNEVEN_NUMBER = r"\d(?:\.\d|[eE][+-]?\d)"
 NO_BRACKETS = r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++'
 
 
@@ -35,10 +36,43 @@ def is_blank(doc: Column) -> Column:
     return doc.isNull() | F.coalesce(F.is_variant_null(doc), F.lit(False))
 
 
+def plain_number(number: Column) -> Column:
+    """A JSON number without exponent, closing zeros of a fraction, or a sign of zero: equal text for equal numbers."""
+
+    def digits(whole: Column, fraction: Column, exponent: Column) -> Column:
+        return let(
+            F.regexp_replace(F.concat(whole, fraction), "^0+", ""),
+            lambda d: F.struct(F.regexp_replace(d, "0+$", "").alias("d"), (exponent - F.length(fraction) + F.length(d) - F.length(F.regexp_replace(d, "0+$", ""))).alias("e")),
+        )
+
+    def written(n: Column) -> Column:
+        d, e = n["d"], n["e"]
+        size = F.length(d)
+        inside = F.concat(F.substr(d, F.lit(1), size + e), F.lit("."), F.substr(d, size + e + 1))
+        return (
+            F.when(size == 0, F.lit("0"))
+            .when(e >= 0, F.concat(d, F.repeat(F.lit("0"), e)))
+            .when(size + e > 0, inside)
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - size), d))
+        )
+
+    exponent = F.coalesce(F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    parts = digits(F.regexp_extract(number, r"^-?(\d+)", 1), F.regexp_extract(number, r"\.(\d+)", 1), exponent)
+    shown = let(parts, written)
+    return let(shown, lambda t: F.when(F.startswith(number, F.lit("-")) & (t != "0"), F.concat(F.lit("-"), t)).otherwise(t))
+
+
 def canonical(doc: Column) -> Column:
-    """Text that is equal for equal documents: keys sorted, `1.0` and `1e0` as `1`, list order kept."""
-    whole = let(F.to_json(doc), lambda t: F.when(F.contains(t, F.lit(".0")), F.regexp_replace(t, WHOLE_NUMBER, "$1$2")).otherwise(t))
-    return F.when(is_blank(doc), F.lit("null")).otherwise(whole)
+    """Text that is equal for equal documents: keys sorted, numbers by value (`1.0`, `1e0` as `1`), list order kept."""
+    evened = lambda t: F.array_join(
+        F.transform(
+            F.regexp_extract_all(t, F.lit(PIECES), F.lit(0)),
+            lambda p: F.when(p.rlike("^-?[0-9]") & p.rlike(UNEVEN_NUMBER + "|^-0$"), plain_number(p)).otherwise(p),
+        ),
+        "",
+    )
+    text = let(F.to_json(doc), lambda t: F.when(t.rlike(UNEVEN_NUMBER), evened(t)).otherwise(t))
+    return F.when(is_blank(doc), F.lit("null")).otherwise(text)
 
 
 def depth(doc: Column) -> Column:

@@ -51,12 +51,12 @@ def built_change_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _scanned(spark: SparkSession, folder: str) -> str:
+def _scanned(spark: SparkSession, folder: str, digest: monitor.Digest | None = None) -> str:
     """Three scans, the third of the first version again; the folder of the store."""
     root = new_work_dir(spark, "scans")
     before, after = _documents(spark, folder)
     for at, entries in zip(TIMES, (before, after, before)):
-        monitor.run_scan(entries, root, at[:10].replace("-", ""), at, at)
+        monitor.run_scan(entries, root, at[:10].replace("-", ""), at, at, digest=digest)
     return root
 
 
@@ -80,3 +80,15 @@ def stored_events_feed(spark: SparkSession, folder: str) -> DataFrame:
     events = E.in_sequence(event_store.read_events(spark, _scanned(spark, folder)))
     groups = B.feed_groups(events.filter(B.is_real(events)))
     return groups.select("entity_key", "local_date", "adjustments")
+
+
+@query(
+    "scan_digest_log",
+    f"""WITH {PRICED_SQL}, n AS (SELECT count(*) AS ne FROM pe)
+SELECT '20260630' AS batch_id, 0 AS number_of_changes, '0 Änderung(en) erkannt' AS subject, 'skipped' AS status FROM n
+UNION ALL SELECT day, ne, ne || ' Änderung(en) erkannt', 'sent' FROM n, (VALUES ('20260701'), ('20260702')) d(day)""",
+)
+def scan_digest_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest log of three scans: nothing to tell of the first, delivered for the others."""
+    sent = monitor.Digest("team@example.org", lambda numbers, lines: lines.write.format("noop").mode("overwrite").save())
+    return monitor.digest_log(spark, _scanned(spark, folder, sent)).select("batch_id", "number_of_changes", "subject", "status")

@@ -176,6 +176,8 @@ LONG_TEXT_BOTH = "Text stark angepasst · ca. %d Wörter entfernt, ca. %d Wörte
 LONG_TEXT_DEFAULT = "Text stark angepasst"
 UNKNOWN_ENTITY = "Unbekannte DiGA"
 DIGEST_SUBJECT = "%d Änderung(en) erkannt"
+DIGEST_NO_CHANGES = "Keine echten Änderungen erkannt."
+DIGEST_NOT_SENT = "Dry-run: email not sent."
 EXCERPT_REMOVED = "Entfernt: "
 EXCERPT_ADDED = "Hinzugefügt: "
 EXCERPT_DEFAULT = "Text/Wert geändert."

@@ -37,6 +37,11 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/events").option("mergeSchema", "true").parquet(f"{root}/events")
 
 
+def read_batch(spark: SparkSession, root: str, batch: str) -> DataFrame:
+    """The events of one batch; no other partition is opened."""
+    return spark.read.option("basePath", f"{root}/events").parquet(f"{root}/events/batch_id={batch}")
+
+
 def read_batches(spark: SparkSession, root: str) -> DataFrame:
     """Batches that hold events."""
     return spark.read.option("basePath", f"{root}/batches").parquet(f"{root}/batches").filter("event_count > 0")

@@ -34,6 +34,26 @@ def test_null_key_on_one_side_is_a_change(spark):
     assert diff(spark, {}, {"n": None}) == [("n", None, None)]
 
 
+NUMBERS = st.one_of(
+    st.integers(-(10**17), 10**17), st.floats(allow_nan=False, allow_infinity=False, width=32), st.floats(-1e18, 1e18, allow_nan=False), st.sampled_from([1e7, 1e-4, 1e20, -0.0, 1.5, 100.0, 5e-324, 1.7e308])
+)
+
+
+def test_numbers_are_compared_by_value(spark):
+    written = ["1e7", "10000000", "1.0E+7", "1e-4", "0.0001", "0.00010", "1e20", "100000000000000000000", "-0.0", "0", "-12.50", "-125e-1", '"1e7 and 1.0"', '["1.0",1.0,{"1.50":2.50}]']
+    df = spark.createDataFrame(list(enumerate(written)), "i int, t string").orderBy("i").select(V.canonical(F.parse_json("t")))
+    assert [r[0] for r in df.collect()] == ["10000000"] * 3 + ["0.0001"] * 3 + ["1" + "0" * 20] * 2 + ["0"] * 2 + ["-12.5"] * 2 + ['"1e7 and 1.0"', '["1.0",1,{"1.50":2.5}]']
+    assert diff(spark, {"a": 1e7, "b": 0.0001, "c": 1e20, "d": [1.0, 2e3]}, {"a": 10000000, "b": 1e-4, "c": 10**20, "d": [1, 2000]}) == []
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(NUMBERS, min_size=1, max_size=60))
+def test_plain_numbers_keep_their_value(spark, numbers):
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(numbers)], "i int, t string").orderBy("i")
+    for x, row in zip(numbers, df.select(V.canonical(F.parse_json("t")).alias("c")).collect()):
+        assert "e" not in row.c.lower() and (row.c == str(x) if isinstance(x, int) else float(row.c) == x) and not (("." in row.c) and row.c.endswith("0"))
+
+
 def test_type_change_lists_and_numbers(spark):
     before = {"t": {"a": 1}, "l": [1, 2], "n": 1, "same": [{"k": 1}]}
     after = {"t": "text", "l": [2, 1], "n": 1.0, "same": [{"k": 1.0}]}

@@ -186,16 +186,42 @@ def test_scans(spark, tmp_path):
     assert [(r.batch_id, r.event_count) for r in event_store.read_batches(spark, root).collect()] == [("s2", 3)]
     history = monitor.scan_history(spark, root).orderBy("scan_timestamp").collect()
     assert [(h.number_of_entities, h.changes_detected) for h in history] == [(3, 0), (3, 3), (3, 0)]
-    numbers = N.digest_numbers(events)
-    logs.append_log(N.digest_log_row(numbers, "2026-06-02T00:00:02Z", "dry_run"), root, monitor.DIGEST_LOG, "s2")
-    logged = logs.read_log(spark, root, monitor.DIGEST_LOG, logs.DIGESTS).first()
-    assert (logged.subject, logged.number_of_changes, logged.status) == ("3 Änderung(en) erkannt", 3, "dry_run")
     lines = N.digest_lines(events.withColumn("seq", F.xxhash64("entity_id"))).collect()
     assert len(lines) == 3 and all(x.description for x in lines)
     assert snapshots.list_snapshots(spark, root).count() == 3
     assert [r.snapshot_id for r in G.latest_snapshots(snapshots.list_snapshots(spark, root)).collect()] == ["s3", "s2"]
 
 
+def test_scans_log_their_digests(spark, tmp_path):
+    root, told = str(tmp_path / "told"), []
+    first = [{"id": "1", "status": "a"}, {"id": "2", "status": "a"}]
+    second = [{"id": "1", "status": "b"}, {"id": "3", "status": "a"}]
+
+    def deliver(numbers, lines):
+        told.append((numbers.number_of_changes, numbers.subject, lines.count()))
+        if len(told) == 2:
+            raise OSError("no route to the mail host")
+
+    sent = monitor.Digest("team@example.org", deliver)
+    plan = [(first, "full", sent), (second, "full", sent), (first, "full", sent), (second, "sample", sent), (first, "full", monitor.Digest()), (second, "full", None), (second, "full", sent)]
+    for n, (rows, mode, digest) in enumerate(plan):
+        monitor.run_scan(entries(spark, rows), root, f"s{n}", f"2026-06-0{n + 1}T00:00:00Z", f"2026-06-0{n + 1}T00:00:01Z", mode=mode, digest=digest)
+    logged = {r.batch_id: (r.number_of_changes, r.status, r.error_message, r.recipient) for r in monitor.digest_log(spark, root).collect()}
+    none, dry = "Keine echten Änderungen erkannt.", "Dry-run: email not sent."
+    assert logged == {
+        "s0": (0, "skipped", none, "team@example.org"),
+        "s1": (3, "sent", None, "team@example.org"),
+        "s2": (3, "failed", "no route to the mail host", "team@example.org"),
+        "s3": (0, "skipped", none, "team@example.org"),
+        "s4": (3, "skipped", dry, ""),
+        "s6": (0, "skipped", none, "team@example.org"),
+    }
+    assert told == [(3, "3 Änderung(en) erkannt", 3)] * 2
+    # A scan that runs again logs once.
+    monitor.run_scan(entries(spark, second), root, "s6", "2026-06-07T00:00:00Z", "2026-06-07T00:00:01Z", digest=sent)
+    assert monitor.digest_log(spark, root).count() == 6
+
+
 def test_missing_logs_are_empty(spark, tmp_path, fixtures):
     assert monitor.scan_history(spark, str(tmp_path / "none")).count() == 0
     rows = logs.read_history_file(spark, f"{fixtures}/scan_history.json", "number_of_diga").collect()
