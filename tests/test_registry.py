@@ -194,8 +194,8 @@ def test_scans(spark, tmp_path):
 
 def test_scans_log_their_digests(spark, tmp_path):
     root, told = str(tmp_path / "told"), []
-    first = [{"id": "1", "status": "a"}, {"id": "2", "status": "a"}]
-    second = [{"id": "1", "status": "b"}, {"id": "3", "status": "a"}]
+    first = {"1": {"id": "1", "status": "a"}, "2": {"id": "2", "status": "a"}}
+    second = {"1": {"id": "1", "status": "b"}, "3": {"id": "3", "status": "a"}}
 
     def deliver(numbers, lines):
         told.append((numbers.number_of_changes, numbers.subject, lines.count()))
