@@ -143,14 +143,20 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*keys, *some.columns, pa.array(found, pa.binary())], [c.split()[0] for c in PIECES.split(", ")])
 
 
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a big-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy()
+    return words.view(">u8")[:, 0].astype(np.uint64)
+
+
 def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of data up to 256 bytes deep, and each suffix's rank; suffixes equal that far share a rank.
 
     Suffixes in groups of one are sorted and take no part in later rounds.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    first = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8")[:, 0].astype(np.uint64)
+    first = byte_words(data)
     order = np.argsort(first)  # the order of equal ones is of no account
     new = np.concatenate(([True], first[order[1:]] != first[order[:-1]]))
     heads = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is its first place
@@ -177,7 +183,7 @@ def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WINDOW) -> np.ndarray:
-    """Length (most at most) of the prefix that each suffix of order shares with the one before it.
+    """Length (most at most) of the prefix that each suffix of order shares with the one before it; order may leave suffixes out.
 
     Kasai's rule: where a suffix and its neighbour are preceded by the same byte, the length is one less than that of the
     suffix one byte earlier. Only the other suffixes are compared, eight bytes a time.
@@ -185,23 +191,25 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
     n = len(data)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
-    i = np.arange(n)
-    carried = (i > 0) & (before > 0) & (data[np.maximum(i - 1, 0)] == data[np.maximum(before - 1, 0)]) & (before[np.maximum(i - 1, 0)] == before - 1)
-    compared = np.flatnonzero(~carried & (before >= 0))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1))
+    carried = np.zeros(n, bool)
+    carried[1:] = (before[1:] > 0) & (before[:-1] == before[1:] - 1) & (data[:-1] == data[np.maximum(before[1:] - 1, 0)])
+    open_ = np.flatnonzero(~carried & (before >= 0))
+    words = byte_words(data)
     length = np.zeros(n, np.int64)
-    open_ = compared
     reach = 4 * most  # carried lengths shrink by one a byte, so irreducible ones are followed further
     while len(open_):
         x, y = open_ + length[open_], before[open_] + length[open_]
-        ok = (x < n) & (y < n) & (length[open_] < reach)
-        open_, x, y = open_[ok], x[ok], y[ok]
-        same = words[x] == words[y]
-        same[(x[:, None] + np.arange(8) >= n) | (y[:, None] + np.arange(8) >= n)] = False
-        run = np.cumprod(same, axis=1).sum(1)
+        room = n - np.maximum(x, y)
+        ok = (room > 0) & (length[open_] < reach)
+        open_, x, y, room = open_[ok], x[ok], y[ok], room[ok]
+        differ = words[x] ^ words[y]
+        run = np.zeros(len(open_), np.int64)
+        for bits in range(0, 64, 8):
+            run += differ < np.uint64(1 << bits)
+        run = np.minimum(run, room)
         length[open_] += run
         open_ = open_[run == 8]
+    i = np.arange(n)
     last = np.maximum.accumulate(np.where(carried, 0, i))
     # A length carried over more bytes than was followed is compared anew at its end.
     plcp = np.maximum(length[last] - (i - last), 0)
@@ -226,9 +234,8 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     offset = np.arange(len(data)) - firsts[region]
     window = offset < rows["n"].to_numpy()[region]
     order, _ = suffix_order(data)
-    run = np.cumsum(common_prefixes(data, order) < WINDOW)
     windows = order[window[order]]
-    run = run[window[order]]
+    run = np.cumsum(common_prefixes(data, windows) < WINDOW)
     heads = np.concatenate(([True], run[1:] != run[:-1]))
     group = np.cumsum(heads) - 1
     repeated = np.zeros(len(data), bool)
