@@ -114,6 +114,50 @@ def test_extract_sections(spark):
     assert [e.content for e in examples] == ["Firma GmbH", "DE"]
 
 
+HARD_PAGES = {
+    "entities": ("<h1>Titel</h1><p>R&amp;D &#228;&#xE9; &uuml; &unknown; a &lt;b&gt; 3 < 4</p>", [("Titel", "section", "R&D äé ü &unknown; a <b> 3 < 4")]),
+    "roles": (
+        '<body><div role="heading" aria-level="2">Oben</div><span role=heading>Unten</span><p>Text eins.</p></body>',
+        [("Oben > Unten", "section", "Text eins.")],
+    ),
+    "labels": (
+        "<h2>Aa</h2><h3>Bb</h3><p><b>Kurz</b></p><p><b>Lang</b></p><p>Wert.</p><p>Danach.</p><dl><dt>C</dt><dt>Feld</dt><dd>Inhalt</dd></dl>",
+        [("Aa > Bb > Lang", "field_value", "Wert."), ("Aa", "section", "Danach."), ("Aa > Feld", "field_value", "Inhalt")],
+    ),
+    "nested": (
+        "<h2>Liste</h2><div>nicht dabei</div><ul><li>eins<ul><li>zwei</li></ul>drei</li></ul><div>nicht dabei</div>",
+        [("Liste", "section", "eins zwei drei")],
+    ),
+    "restart": (
+        "<h1>T1</h1><h2>Unter</h2><p>aa</p><h1>T2</h1><p>bb</p><p>cc</p>",
+        [("Unter", "section", "aa"), ("T2", "section", "bb cc")],
+    ),
+    "unseen": ("<h1>Titel</h1><!-- <p>nein</p> --><script>'<p>nein</p>'</script><p>ja</p><p>x</p><p>Suche</p>", [("Titel", "section", "ja")]),
+    "open": ("<h1>Titel</h1>" + "<p" * 2000 + "<p>eins<p>zwei<br>drei", [("Titel", "section", "eins zwei drei")]),
+    "long": ("<h1>Titel</h1><p>" + "wort " * 60_000 + "</p>", [("Titel", "section", ("wort " * 60_000).strip())]),
+    "plain": ("nur Text", []),
+    "no title": ("<p>Der Ersatztitel ist kein Inhaltspfad.</p>", []),
+    "blank": (" \n ", []),
+}
+
+
+def test_extract_sections_of_hard_pages(spark):
+    rows = [(k, html, 1) for k, (html, _) in HARD_PAGES.items() for _ in range(2)]  # every row twice
+    pages = spark.createDataFrame([*rows, (None, "<h1>Titel</h1><p>ohne Schlüssel</p>", 1), ("leer", None, 1)], "id string, html string, pos int")
+    got: dict = {}
+    for r in S.extract_sections(pages, "id", "html").orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append((" > ".join(r.path), r.content_type, r.content))
+    assert got.pop(None) == [("Titel", "section", "ohne Schlüssel")]
+    assert got == {k: want for k, (_, want) in HARD_PAGES.items() if want}
+    assert S.extract_sections(pages.limit(0), "id", "html").collect() == []
+
+
+def test_extract_sections_shuffles_once_without_python(spark):
+    pages = spark.createDataFrame([("a", PAGE)], "id string, html string")
+    plan = S.extract_sections(pages, "id", "html")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "InPandas" not in plan
+
+
 def matcher_changes(before, after):
     before, after = sorted(before), sorted(after)
     out = []
