@@ -124,6 +124,10 @@ HARD_PAGES = {
         "<h2>Aa</h2><h3>Bb</h3><p><b>Kurz</b></p><p><b>Lang</b></p><p>Wert.</p><p>Danach.</p><dl><dt>C</dt><dt>Feld</dt><dd>Inhalt</dd></dl>",
         [("Aa > Bb > Lang", "field_value", "Wert."), ("Aa", "section", "Danach."), ("Aa > Feld", "field_value", "Inhalt")],
     ),
+    "sentence": (
+        "<h2>Aa</h2><p>Vorab.</p><p><b>Ein Satz.<br></p><p>Wert.</p><p>Danach.</p>",
+        [("Aa", "section", "Vorab. Ein Satz."), ("Aa > Ein Satz.", "field_value", "Wert."), ("Aa", "section", "Danach.")],
+    ),
     "nested": (
         "<h2>Liste</h2><div>nicht dabei</div><ul><li>eins<ul><li>zwei</li></ul>drei</li></ul><div>nicht dabei</div>",
         [("Liste", "section", "eins zwei drei")],
