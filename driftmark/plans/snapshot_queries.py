@@ -11,6 +11,7 @@ from driftmark.functions import variant as V
 from driftmark.operators import entity_diff as C
 from driftmark.operators import events as E
 from driftmark.operators import identity as I
+from driftmark.operators import node_diff as N
 from driftmark.plans import monitor
 from driftmark.plans.registry import query, table
 from driftmark.plans.versions_of_tables import DOC_FIELDS, DOCUMENTS_SQL, document_versions, user_versions
@@ -254,6 +255,34 @@ def nested_field_changes(spark: SparkSession, folder: str) -> DataFrame:
     return changes.select("event_id", "field", V.canonical(F.col("before")).alias("before"), V.canonical(F.col("after")).alias("after"))
 
 
+FLAT_SQL = DOCUMENTS_SQL + """,
+n AS (SELECT b.doc_id, b.text AS b_text, a.text AS a_text, b.source AS b_source, a.source AS a_source, a.lang,
+             json_object('source', b.source, 'tags', json_array(b.lang)) AS b_origin,
+             CASE WHEN doc_id % 5 = 0 THEN 'gone' WHEN doc_id % 13 = 0 THEN 'text' ELSE 'whole' END AS shape
+      FROM b JOIN a USING (doc_id))"""
+
+
+@query(
+    "flat_document_changes",
+    f"""WITH {FLAT_SQL}
+SELECT doc_id, 'text' AS field, CAST(to_json(b_text) AS VARCHAR) AS before, CAST(to_json(a_text) AS VARCHAR) AS after FROM n WHERE b_text IS DISTINCT FROM a_text
+UNION ALL SELECT doc_id, 'meta.origin.source', CAST(to_json(b_source) AS VARCHAR), CAST(to_json(a_source) AS VARCHAR) FROM n
+  WHERE shape = 'whole' AND b_source IS DISTINCT FROM a_source
+UNION ALL SELECT doc_id, 'meta.origin', CAST(b_origin AS VARCHAR), NULL FROM n WHERE shape = 'gone'
+UNION ALL SELECT doc_id, 'meta', CAST(json_object('lang', lang, 'origin', b_origin) AS VARCHAR), coalesce(CAST(to_json(lang) AS VARCHAR), 'null') FROM n WHERE shape = 'text'""",
+)
+def flat_document_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested documents of both versions as node tables; later ones lose a subtree, or have a text in its place."""
+    before, after = document_versions(spark, folder)
+    origin = F.struct("source", F.array("lang").alias("tags")).alias("origin")
+    whole = F.to_variant_object(F.struct("text", F.struct("lang", origin).alias("meta")))
+    gone = F.to_variant_object(F.struct("text", F.struct("lang").alias("meta")))
+    text = F.to_variant_object(F.struct("text", F.col("lang").alias("meta")))
+    later = F.when(F.col("doc_id") % 5 == 0, gone).when(F.col("doc_id") % 13 == 0, text).otherwise(whole)
+    nodes = [N.node_table(df.select("doc_id", doc.alias("doc")), ["doc_id"]) for df, doc in ((before, whole), (after, later))]
+    return N.NodeDiff(*nodes, ["doc_id"]).texts().select("doc_id", "field", "before", "after")
+
+
 @query(
     "document_text_leaves",
     """SELECT event_id, 'type' AS path, event_type AS text FROM events
