@@ -10,6 +10,10 @@ LIST = "array<variant>"
 # Pieces of a JSON text: strings, numbers, and what stands between them.
 PIECES = r'"(?:[^"\\]++|\\.)*+"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[^"\d-]++'
 UNEVEN_NUMBER = r"\d(?:\.\d|[eE][+-]?\d)"
+STRING = r'"(?:[^"\\]++|\\.)*+"'
+# What a display text is folded from: strings, other scalars and brackets.
+DISPLAY_PIECES = STRING + r'|[{}\[\]]|[^"{}\[\],:]++'
+OPEN_CONTAINERS = "array<struct<listed:boolean,key:string,parts:array<string>>>"
 NO_BRACKETS = r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++'
 
 
@@ -122,46 +126,81 @@ def _parts(doc: Column) -> Column:
     return F.coalesce(items, F.map_entries(as_object(doc)))
 
 
-def display_value(doc: Column, levels: int = 12) -> Column:
-    """Display text in which the order of list items does not matter.
-
-    What lies deeper than `levels` is shown as canonical JSON, in which it does.
-    """
-    scalar = (
+def _scalar_text(doc: Column) -> Column:
+    return (
         F.when(is_blank(doc), F.lit("None"))
         .when(F.schema_of_variant(doc) == "BOOLEAN", F.initcap(doc.try_cast("string")))
         .otherwise(F.trim(F.regexp_replace(doc.try_cast("string"), r"(?U)[\s\x1c-\x1f]+", " ")))
     )
+
+
+def display_value(doc: Column, levels: int = 12) -> Column:
+    """Display text in which the order of list items does not matter, at any depth.
+
+    The first `levels` levels are nested transforms; what lies deeper is folded over its JSON pieces. The text is the
+    same for any `levels`: the fold takes any depth, the transforms are faster on long lists.
+    """
+    scalar = _scalar_text(doc)
     if levels == 0:
-        return F.when(_parts(doc).isNotNull(), canonical(doc)).otherwise(scalar)
+        return F.when(_parts(doc).isNotNull(), _folded_display(doc)).otherwise(scalar)
     shown = F.transform(
         F.filter(_parts(doc), lambda m: m["key"].isNull() | ~is_blank(m["value"])),
         lambda m: F.concat(F.coalesce(F.concat(m["key"], F.lit(":")), F.lit("")), display_value(m["value"], levels - 1)),
     )
     listed = as_list(doc).isNotNull()
-    text = let(shown, lambda p: F.array_join(F.when(listed, F.array_sort(p)).otherwise(p), "\n"))
+    text = let(shown, lambda p: _joined(listed, p))
     return F.when(listed | as_object(doc).isNotNull(), text).otherwise(scalar)
 
 
-def _escaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+def _joined(listed: Column, parts: Column) -> Column:
+    return F.array_join(F.when(listed, F.array_sort(parts)).otherwise(parts), "\n")
 
 
-def json_text(doc: Column, levels: int = 12) -> Column:
-    """JSON with sorted keys and a blank after `,` and `:`, the form values take in summaries; without blanks below `levels`."""
-    scalar = F.when(is_blank(doc), F.lit("null")).otherwise(F.to_json(doc))
-    if levels == 0:
-        return scalar
-    parts = F.transform(
-        _parts(doc),
-        lambda m: F.concat(
-            F.coalesce(F.concat(F.lit('"'), _escaped(m["key"]), F.lit('": ')), F.lit("")),
-            json_text(m["value"], levels - 1),
-        ),
-    )
-    listed, keyed = as_list(doc).isNotNull(), as_object(doc).isNotNull()
-    opening, closing = F.when(listed, F.lit("[")).otherwise("{"), F.when(listed, F.lit("]")).otherwise("}")
-    return F.when(listed | keyed, F.concat(opening, F.array_join(parts, ", "), closing)).otherwise(scalar)
+def _folded_display(doc: Column) -> Column:
+    """The display text of an object or list by one pass over its JSON pieces, with the containers still open on a stack."""
+    nothing = F.lit(None).cast("string")
+    start = F.struct(F.array().cast(OPEN_CONTAINERS).alias("stack"), nothing.alias("key"), nothing.alias("text"))
+
+    def state(stack: Column, key: Column, text: Column) -> Column:
+        return F.struct(stack.alias("stack"), key.alias("key"), text.alias("text"))
+
+    def container(listed: Column, key: Column, parts: Column) -> Column:
+        return F.array(F.struct(listed.alias("listed"), key.alias("key"), parts.alias("parts")))
+
+    def below(stack: Column) -> Column:
+        return F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+
+    def put(stack: Column, key: Column, text: Column, blank: Column) -> Column:
+        """A finished value becomes a part of the container on top, or the result."""
+        top = F.try_element_at(stack, F.lit(-1))
+        part = F.when(top["listed"], text).when(~blank, F.concat(key, F.lit(":"), text))
+        parts = F.when(part.isNull(), top["parts"]).otherwise(F.concat(top["parts"], F.array(part)))
+        grown = F.concat(below(stack), container(top["listed"], top["key"], parts))
+        return F.when(F.size(stack) == 0, state(stack, nothing, text)).otherwise(state(grown, nothing, nothing))
+
+    def step(s: Column, piece: Column) -> Column:
+        stack, top = s["stack"], F.try_element_at(s["stack"], F.lit(-1))
+        opened = F.concat(stack, container(piece == "[", s["key"], F.array().cast("array<string>")))
+        names_a_member = ~top["listed"] & s["key"].isNull()
+        value = lambda v: F.when(names_a_member, state(stack, v.try_cast("string"), nothing)).otherwise(
+            put(stack, s["key"], _scalar_text(v), is_blank(v))
+        )
+        return (
+            F.when(piece.isin("{", "["), state(opened, nothing, nothing))
+            .when(piece.isin("}", "]"), put(below(stack), top["key"], _joined(top["listed"], top["parts"]), F.lit(False)))
+            .otherwise(let(F.parse_json(piece), value))
+        )
+
+    pieces = F.regexp_extract_all(F.to_json(doc), F.lit(DISPLAY_PIECES), F.lit(0))
+    return F.aggregate(pieces, start, step, lambda s: s["text"])
+
+
+def json_text(doc: Column) -> Column:
+    """JSON with sorted keys and a blank after `,` and `:`, the form values take in summaries."""
+    spaced = lambda p: F.replace(F.replace(p, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+    pieces = F.regexp_extract_all(F.to_json(doc), F.lit(STRING + r'|[^"]++'), F.lit(0))
+    text = F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(spaced(p))), "")
+    return F.when(is_blank(doc), F.lit("null")).otherwise(text)
 
 
 def walk(df: DataFrame, doc: str, max_depth: int | None = None, leaves_only: bool = False) -> DataFrame:

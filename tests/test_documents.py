@@ -253,3 +253,26 @@ def test_multi_key_match_and_targets(spark):
     )
     got = B.match_entities(events, "e", ["id", "name", "url"], entries, "key", ["id", "identifier", "name", "url"], "pos")
     assert {(r.e, r.key) for r in got.collect()} == {(1, "e1"), (2, "e0"), (3, None), (4, "e2")}
+
+
+def shown(value):
+    """The display text in plain Python."""
+    if isinstance(value, dict):
+        return "\n".join(f"{k}:{shown(v)}" for k, v in sorted(value.items()) if v is not None)
+    if isinstance(value, list):
+        return "\n".join(sorted(shown(v) for v in value))
+    return {True: "True", False: "False", None: "None"}[value] if value is None or isinstance(value, bool) else " ".join(str(value).split())
+
+
+def test_display_and_json_text_at_any_depth(spark):
+    inner = {"b": [3, "x, y: {z}", None, ["d", "c"]], "a": {}, "e": [], "n": None, 'q"\\\t,:[': True, "t": "two  \n words", "f": 1.5}
+    docs = [inner, [inner, [2, 1], "s"], {}, [], [[]], "text", 7, None]
+    for _ in range(40):
+        docs.append({"k": [docs[-1] if len(docs) > 8 else inner, "z", "a"]})
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, d string").select("i", F.parse_json("d").alias("v"))
+    texts = df.select("i", *[V.display_value(F.col("v"), n).alias(f"l{n}") for n in (0, 1, 12)], V.json_text(F.col("v")).alias("j")).orderBy("i").collect()
+    for row, doc in zip(texts, docs):
+        assert row.l0 == row.l1 == row.l12 == shown(doc), row.i
+        assert row.j == json.dumps(doc, sort_keys=True), row.i
+    deep = [r.l12 for r in df.select(V.display_value(F.parse_json(F.lit(json.dumps(docs[-1]).replace('"z", "a"', '"a", "z"')))).alias("l12")).limit(1).collect()]
+    assert deep == [texts[-1].l12]
