@@ -10,8 +10,9 @@ import difflib
 import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
@@ -21,6 +22,7 @@ from driftmark.functions import text as X
 
 TOKENS = ArrayType(StructType().add("op", StringType()).add("text", StringType()))
 CLOSE = 0.75  # similarity from which two words count as one word that was edited
+HELD = 1 << 15  # tokens, runs or lines of whole pairs that wait in a Python worker before they are handed on
 
 
 def _close_words(old: list[str], new: list[str]) -> list[list[tuple[str, str]]]:
@@ -108,47 +110,65 @@ def word_tokens(before: str, after: str) -> list[tuple[str, str]]:
     return tokens
 
 
-@F.pandas_udf(TOKENS)
-def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Word diff of the whole texts; null where a side is null."""
-    pairs = zip(before, after)
-    return pd.Series(
-        [None if b is None or a is None else [{"op": o, "text": w} for o, w in word_tokens(b, a)] for b, a in pairs]
-    )
+def _lists(batches: Iterator[tuple[pa.Array, pa.Array]], diff: Callable[[str, str], list], values: Callable[[list], pa.Array]) -> Iterator[pa.Array]:
+    """A list per pair, null where a side is null.
+
+    A batch counts rows, and a row may hold long texts: lists are given out as soon as HELD items wait, so that
+    a worker holds those, and one pair's.
+    """
+    for before, after in batches:
+        items, ends, missing = [], [0], []
+        for b, a in zip(before, after):
+            b, a = b.as_py(), a.as_py()
+            missing.append(b is None or a is None)
+            if not missing[-1]:
+                items.extend(diff(b, a))
+            ends.append(len(items))
+            if len(items) >= HELD:
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values(items), mask=pa.array(missing))
+                items, ends, missing = [], [0], []
+        if missing:
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values(items), mask=pa.array(missing))
+
+
+def _texts(items: list[str]) -> pa.Array:
+    return pa.array(items, pa.string())
+
+
+def _structs(names: Sequence[str]) -> Callable[[list[tuple]], pa.Array]:
+    return lambda items: pa.StructArray.from_arrays([_texts([x[i] for x in items]) for i in range(len(names))], names)
+
+
+@F.arrow_udf(TOKENS)
+def word_diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Word diff of the whole texts (before, after); null where a side is null."""
+    return _lists(batches, word_tokens, _structs(["op", "text"]))
 
 
 RUNS = ArrayType(StructType().add("op", StringType()).add("removed", StringType()).add("added", StringType()))
 
 
-@F.pandas_udf(RUNS)
-def word_runs(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Changed runs of words without the popularity heuristic: op, removed words, added words."""
+@F.arrow_udf(RUNS)
+def word_runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Changed runs of words (before, after) without the popularity heuristic: op, removed words, added words."""
 
     def runs(b, a):
-        if b is None or a is None:
-            return None
         old, new = b.split(), a.split()
         blocks = difflib.SequenceMatcher(a=old, b=new, autojunk=False).get_opcodes()
-        return [
-            {"op": op, "removed": " ".join(old[i:j]), "added": " ".join(new[k:n])}
-            for op, i, j, k, n in blocks
-            if op != "equal"
-        ]
+        return [(op, " ".join(old[i:j]), " ".join(new[k:n])) for op, i, j, k, n in blocks if op != "equal"]
 
-    return pd.Series([runs(b, a) for b, a in zip(before, after)])
+    return _lists(batches, runs, _structs(["op", "removed", "added"]))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def unified_lines(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Unified diff of the lines of two texts."""
+@F.arrow_udf(ArrayType(StringType()))
+def unified_lines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Unified diff of the lines of two texts (before, after)."""
 
     def lines(b, a):
-        if b is None or a is None:
-            return None
         old, new = b.splitlines() or [b], a.splitlines() or [a]
         return list(difflib.unified_diff(old, new, "before", "after", lineterm=""))
 
-    return pd.Series([lines(b, a) for b, a in zip(before, after)])
+    return _lists(batches, lines, _texts)
 
 
 def spread_pairs(df: DataFrame, *by: str) -> DataFrame:

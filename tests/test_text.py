@@ -4,6 +4,7 @@ import difflib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -226,3 +227,18 @@ def test_boilerplate_and_moved_text(spark):
         [([f"Frage: {run}"], run.lower()), ([run], "anderes"), ([" ".join(run.split()[:19])], run.lower()), ([run], "")], "r array<string>, blob string"
     )
     assert [r[0] for r in df.select(E.moved_text(F.col("r"), F.col("blob"))).collect()] == [True, False, False, False]
+
+
+@pytest.mark.parametrize("diff", [W.word_diff, W.word_runs, W.unified_lines])
+def test_diffs_of_one_batch_are_handed_on_in_pieces(diff):
+    """A batch of long texts must not lie in the Python worker as one list of all its tokens."""
+    old = "\n".join(f"w{i} x." for i in range(3000))
+    rows = [(old, old.replace(". ", "! ").replace(".\n", "!\n")), (None, old), (old, None), (None, None), ("", "a b")] * 12
+    batch = tuple(pa.array(side, pa.string()) for side in zip(*rows))
+    pieces = list(diff.func(iter([batch])))
+    assert max(len(p.values) - len(p[-1].values if p[-1].is_valid else []) for p in pieces) < W.HELD
+    assert len(pieces) > 1 and sum(map(len, pieces)) == len(rows)
+    found = [x for p in pieces for x in p.to_pylist()]
+    assert [x is None for x in found] == [b is None or a is None for b, a in rows]
+    assert found[:5] * 12 == found
+    assert found[0] and len(found[4]) > 0
