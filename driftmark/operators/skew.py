@@ -19,6 +19,7 @@ from driftmark.session import cut_lineage
 PARTS = 4000
 MIN_ROWS = 1_000_000
 STEP = 32
+ROWS = 250_000  # of one task that sorts or groups whole rows by key
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], parts: int = PARTS, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -33,6 +34,20 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], parts: int = PARTS, min_rows:
     return heavy.withColumn("__pieces", F.ceil(F.col("__n") * parts / total).cast("int"))
 
 
+def measured_keys(df: DataFrame, keys: Sequence[str], parts: int = PARTS, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The heavy keys as one small checkpoint; a shuffle brings them together, so that counting stays spread over the tasks."""
+    return cut_lineage(heavy_keys(df, keys, parts, min_rows).repartition(1))
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Rows of each key in one of as many partitions as `rows` need; few rows are left to the next shuffle.
+
+    Adaptive execution joins shuffle partitions by their compressed bytes, which says little of the memory that sorting or
+    grouping their rows takes; partitions dealt by number stay as they are.
+    """
+    return df if rows <= 4 * ROWS else df.repartition(-(-rows // ROWS), *keys)
+
+
 def _mark(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Broadcast join to a bounded table of keys in which null is a key like any other."""
     renamed = small.select(*[F.col(k).alias(f"__on_{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
@@ -55,7 +70,7 @@ def lookup_join(
 
     Only the dimension rows of heavy keys are repeated, once per piece: at most ``2 * parts`` rows.
     """
-    measured = cut_lineage(heavy_keys(fact.select(*keys), keys, parts, min_rows).coalesce(1))
+    measured = measured_keys(fact.select(*keys), keys, parts, min_rows)
     if measured.isEmpty():
         return fact.join(dim, list(keys), how)
     heavy = measured.select(*keys, "__pieces")
@@ -97,10 +112,10 @@ class OrderedKeys:
     ):
         self.keys, self.order = list(keys), list(order)
         narrow = df.select(*{*keys, *order})
-        heavy = cut_lineage(heavy_keys(narrow if measure is None else measure, keys, parts, min_rows).coalesce(1))
+        heavy = measured_keys(narrow if measure is None else measure, keys, parts, min_rows)
         self.split = not heavy.isEmpty()
         if not self.split:
-            self.rows = df
+            self.rows = dealt(df, keys, (narrow if measure is None else measure).count())
             self.window = Window.partitionBy(*keys).orderBy(*order)
             return
         rank = F.struct(*order)

@@ -12,7 +12,7 @@ from driftmark.operators import history as H
 from driftmark.operators import identity as I
 from driftmark.operators import prices as P
 from driftmark.operators import sections as S
-from driftmark.operators.skew import lookup_join
+from driftmark.operators.skew import dealt, lookup_join
 from driftmark.plans import monitor
 from driftmark.plans.registry import query, table
 from driftmark.plans.versions_of_tables import (
@@ -151,7 +151,8 @@ def question_labels(spark: SparkSession, folder: str) -> DataFrame:
 )
 def records_backfilled(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("entity_id"))
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("entity_id")).agg(F.count(F.lit(1)).alias("modules"))
+    parts = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("entity_id"))
+    lines = dealt(parts, ["entity_id"], parts.count()).groupBy("entity_id").agg(F.count(F.lit(1)).alias("modules"))
     records = lines.join(orders, "entity_id", "left_semi").withColumn("status", F.lit("listed"))
     return A.backfill(records, orders, "entity_id", {"status": F.lit("unknown")}).select("entity_id", "status", "modules")
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from driftmark.operators import skew
 from driftmark.operators.skew import OrderedKeys, expand_copies, heavy_keys, lookup_join
 from driftmark.operators.versions import nearest_version
 
@@ -78,3 +80,32 @@ def test_nearest_version_by_brute_force(spark, skew):
     for e, t in events:
         want = None if t is None else min((abs(t - m), m, s) for m, s in marks)[2]
         assert got[e] == want
+
+
+def test_heavy_keys_are_counted_by_many_tasks(skewed, monkeypatch):
+    """Bringing the few heavy keys together must not bring the counting of all keys into one task."""
+    plans = []
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    dim = skewed.select("k").distinct()
+    lookup_join(skewed, dim, ["k"])
+    OrderedKeys(skewed, ["k"], ["at"])
+    assert len(plans) == 2 and not any("Coalesce 1" in p for p in plans)
+
+
+def test_many_rows_are_dealt_into_partitions_of_bounded_size(skewed, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS", 100)
+    ordered = OrderedKeys(skewed, ["k"], ["at"])
+    assert ordered.rows.rdd.getNumPartitions() == 30
+    got = {(r.at, r.n) for r in ordered.positions("n").collect()}
+    plain = skewed.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("at")))
+    assert got == {(r.at, r.n) for r in plain.collect()}
+
+
+def test_backfilled_records_are_dealt_by_their_rows(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, entry.queries()["records_backfilled"](spark, folder).collect()))
+    monkeypatch.setattr(skew, "ROWS", 500)
+    n = -(-spark.read.parquet(f"{folder}/lineitem.parquet").count() // 500)
+    df = entry.queries()["records_backfilled"](spark, folder)
+    assert f", {n}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == plain
