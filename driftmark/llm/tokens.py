@@ -21,8 +21,8 @@ from driftmark.llm.work import give_back
 END_ID = 2
 #: Lower-case letters that normalising leaves as they are, then ASCII marks: one or two pieces for the vocabulary's rules.
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-SLICE_BYTES = 1 << 19  # text handled at once
-CACHE_SEGMENTS = 200_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
+SLICE_BYTES = 1 << 21  # text handled at once
+CACHE_SEGMENTS = 400_000  # remembered segments per Python worker; beyond it the rarer half is forgotten
 
 
 def default_path() -> str:
@@ -130,10 +130,10 @@ class SegmentEncoder:
         which[marked] = len(words) + np.arange(len(cut))
         stemmed = pa.concat_arrays([words, cut]).take(pa.array(which)).dictionary_encode()
         stems = stemmed.dictionary.to_pylist()
-        if len(self.slots) + len(stems) > self.cache_segments:
+        missing = [w for w in stems if w not in self.slots]
+        if missing and len(self.slots) + len(missing) > self.cache_segments:
             self._shrink()
-        get = self.slots.get
-        missing = [w for w in stems if get(w) is None]
+            missing = [w for w in stems if w not in self.slots]
         if missing:
             self._learn(missing)
         slot = np.fromiter(map(self.slots.__getitem__, stems), np.int64, len(stems))

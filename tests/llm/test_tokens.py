@@ -93,3 +93,12 @@ def test_prompts_bear_no_loss(spark):
     got = {r.doc_id: r for r in packing.pack(df, prompt="ask", with_ids=True).collect()}
     assert got[1].ids == library_ids("a question") + library_ids("answer words here") + [2]
     assert got[1].loss_tokens == len(library_ids("answer words here")) + 1 and got[3].loss_tokens == 1
+
+
+def test_stems_that_are_known_are_not_forgotten_and_learned_again(monkeypatch):
+    encoder, learned = SegmentEncoder(cache_segments=300), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda stems: (learned.extend(stems), learn(stems)))
+    text = pa.array([" ".join(f"stem{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))])
+    first, second = encoder.encode(text)[0], encoder.encode(text)[0]
+    assert len(learned) == 200 and first.tolist() == second.tolist()
