@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -97,6 +98,10 @@ class SegmentEncoder:
         self.used += len(ids)
         self.slots.update(zip(stems, range(first, n)))
 
+    def _known(self, stems: list[str]) -> np.ndarray:
+        """The slot of each stem, -1 of those not remembered."""
+        return np.fromiter(map(self.slots.get, stems, repeat(-1)), np.int64, len(stems))
+
     def _learn(self, stems: list[str]) -> None:
         plain, pieces, other = [], [], []
         for stem in stems:
@@ -129,14 +134,17 @@ class SegmentEncoder:
         which = np.arange(len(words))
         which[marked] = len(words) + np.arange(len(cut))
         stemmed = pa.concat_arrays([words, cut]).take(pa.array(which)).dictionary_encode()
-        stems = stemmed.dictionary.to_pylist()
-        missing = [w for w in stems if w not in self.slots]
-        if missing and len(self.slots) + len(missing) > self.cache_segments:
+        stems = stemmed.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
+        slot = self._known(stems)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing) and len(self.slots) + len(missing) > self.cache_segments:
             self._shrink()
-            missing = [w for w in stems if w not in self.slots]
-        if missing:
-            self._learn(missing)
-        slot = np.fromiter(map(self.slots.__getitem__, stems), np.int64, len(stems))
+            slot = self._known(stems)
+            missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            some = [stems[i] for i in missing.tolist()]
+            self._learn(some)
+            slot[missing] = self._known(some)
         self.hits[slot] += 1
         slot = slot[stemmed.indices.to_numpy()]
         stem_sizes = self.sizes[slot]

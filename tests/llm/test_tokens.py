@@ -102,3 +102,26 @@ def test_stems_that_are_known_are_not_forgotten_and_learned_again(monkeypatch):
     text = pa.array([" ".join(f"stem{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))])
     first, second = encoder.encode(text)[0], encoder.encode(text)[0]
     assert len(learned) == 200 and first.tolist() == second.tolist()
+
+
+def test_a_known_stem_is_looked_up_once():
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *a):
+            Counted.looks += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.looks += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            Counted.looks += 1
+            return super().__contains__(k)
+
+    made, texts = SegmentEncoder(), pa.array(["one two three two, three.", None, "two"])
+    first = made.encode(texts)
+    made.slots = Counted(made.slots)
+    again = made.encode(texts)
+    assert all((x == y).all() for x, y in zip(first, again)) and Counted.looks == 3
