@@ -16,11 +16,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.graph import components
+from driftmark.llm.tokens import _ranges
 from driftmark.llm.work import bound_batches, give_back, stored
 
 RADIUS = 3
@@ -29,8 +31,8 @@ SEED = 42
 TILE = 2048  # fingerprints of a tile
 COPY_WORDS, COPY_WIDTH, COPY_SIMILARITY = 5, 4, 0.8
 COPY_DEVIATIONS = 5  # standard deviations of the bits that differ, beyond which a pair is not compared by its shingles
-COPY_SURE = 4  # standard deviations below the expected bits: such a link stands for others between the nodes it joins
 COPY_TILE = 8192
+SET_SHINGLES = 1 << 21  # shingles of a cluster's texts held by a task
 BUCKET = 256  # fingerprints a bucket should hold on average, at most
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -186,25 +188,12 @@ def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _spanning(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """root with pairs p - q added, and as few of these pairs as do it."""
-    chosen = [(p[:0], q[:0])]
-    while True:
-        apart = root[p] != root[q]
-        p, q = p[apart], q[apart]
-        if not len(p):
-            return root, *(np.concatenate(c) for c in zip(*chosen))
-        _, first = np.unique(np.maximum(root[p], root[q]), return_index=True)
-        chosen.append((p[first], q[first]))
-        root = _merged(root, p[first], q[first])
-
-
-def _candidates(node: np.ndarray, bits: np.ndarray, side: np.ndarray, radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a tile's nodes within the radius, less those between nodes that pairs within sure, given too, join."""
+def _clusters(bits: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """For each row of a tile, the smallest row that pairs within the radius join it to."""
     ones = np.bitwise_count(bits).sum(1, dtype=np.int16)
     # The fewest words that tell almost all unrelated pairs, half of whose bits differ, apart; other pairs are counted whole.
     told = next((w for w in range(1, bits.shape[1]) if 32 * w - radius >= 16 * np.sqrt(w)), bits.shape[1])
-    root, own = np.arange(len(node)), side[0] == 2
+    root, own = np.arange(len(bits)), side[0] == 2
     x, y = (root, root) if own else (root[side == 0], root[side == 1])
     x, y = x[np.argsort(ones[x], kind="stable")], y[np.argsort(ones[y], kind="stable")]
     for i in range(0, len(x), 128):
@@ -216,68 +205,154 @@ def _candidates(node: np.ndarray, bits: np.ndarray, side: np.ndarray, radius: in
         for w in range(1, told):
             apart += np.bitwise_count(bits[a, w][:, None] ^ bits[b, w][None, :])
         p, q = np.nonzero(apart <= radius)
-        if own:
-            later = q + low > p + i
-            p, q = p[later], q[later]
         p, q = a[p], b[q]
-        apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int16)
-        root, s, t = _spanning(root, p[apart <= sure], q[apart <= sure])
-        rest = (apart > sure) & (apart <= radius) & (root[p] != root[q])
-        yield node[np.concatenate([s, p[rest]])], node[np.concatenate([t, q[rest]])]
-
-
-def _compare_copies(batches: Iterable[pa.RecordBatch], radius: int, sure: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile; a tile's rows wait for its last."""
+        untied = root[p] != root[q]
+        p, q = p[untied], q[untied]
+        near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int16) <= radius
+        root = _merged(root, p[near], q[near])
+    return root
+
+
+def _dealt(root: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(rows, part, side): clusters of several rows, whole up to SET_SHINGLES of weight, else as pairs of their parts."""
+    total = np.bincount(root, weight)
+    rows = np.flatnonzero(np.bincount(root)[root] > 1)
+    whole = total[root[rows]] <= SET_SHINGLES
+    yield rows[whole], 0, 2
+    for r in np.unique(root[rows[~whole]]):
+        own = np.flatnonzero(root == r)
+        cut = np.cumsum(weight[own]) // (SET_SHINGLES / 2)
+        parts = np.split(own, np.flatnonzero(np.diff(cut)) + 1)
+        for i, x in enumerate(parts):
+            yield x, i * len(parts) + i, 2
+            for j in range(i):
+                yield x, i * len(parts) + j, 0
+                yield parts[j], i * len(parts) + j, 1
+
+
+def _compare_copies(batches: Iterable[pa.RecordBatch], radius: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile; a tile's rows wait for its last. A size s has texts of up to ratio ** (s + 1) shingles."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def result() -> Iterator[pa.RecordBatch]:
-        node, bits, side, tile = (np.concatenate(c) for c in zip(*held))
+        node, bits, side, size, tile = (np.concatenate(c) for c in zip(*held))
         starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
         for s, e in zip(starts, np.append(starts[1:], len(tile))):
-            for a, b in _candidates(node[s:e], bits[s:e], side[s:e], radius, sure):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            root = _clusters(bits[s:e], side[s:e], radius)
+            for rows, part, at in _dealt(root, ratio ** (size[s:e] + 1.0)):
+                if len(rows):
+                    alike = [np.full(len(rows), v, t) for v, t in ((tile[s], np.int64), (part, np.int64), (at, np.int32))]
+                    columns = [alike[0], node[s:e][root[rows]], alike[1], alike[2], node[s:e][rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tile", "cluster", "part", "side", "node"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-        node, side, tile = (batch.column(c).to_numpy() for c in ("node", "side", "tile"))
-        if held and held[-1][3][-1] != tile[0]:
+        node, side, size, tile = (batch.column(c).to_numpy() for c in ("node", "side", "size", "tile"))
+        if held and held[-1][4][-1] != tile[0]:
             yield from result()
             held = []
         cut = int(np.searchsorted(tile, tile[-1]))
         if cut:
-            held.append((node[:cut], bits[:cut], side[:cut], tile[:cut]))
+            held.append((node[:cut], bits[:cut], side[:cut], size[:cut], tile[:cut]))
             yield from result()
             held = []
-        held.append((node[cut:], bits[cut:], side[cut:], tile[cut:]))
+        held.append((node[cut:], bits[cut:], side[cut:], size[cut:], tile[cut:]))
     if held:
         yield from result()
     give_back()
 
 
 def _shingle_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    names = ["node", "doc_id", "bits", "shingles"]
     for batch in batches:
         for i in range(batch.num_rows):
             found = [np.unique(h) for h in shingle_hashes(batch.column("text")[i].as_py(), words)]
             found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in names[:3]), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names)
     give_back()
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have the similarity (Jaccard); texts is (node, text)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(texts.join(ends, "node", "left_semi").mapInArrow(partial(_shingle_sets, words=words), "node long, shingles array<long>"), "copy-shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _similar(bits: np.ndarray, side: np.ndarray, flat: np.ndarray, sizes: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """For each row of a cluster, the smallest row that pairs of the similarity join it to.
+
+    Rows have their sets of shingles in flat, one after another. Rows that are joined already are not compared again.
+    """
+    root, rows = np.arange(len(bits)), np.arange(len(bits))
+    own = side[0] == 2
+    x, y = (rows, rows) if own else (rows[side == 0], rows[side == 1])
+    ends = np.cumsum(sizes)
+    names, flat = np.unique(flat, return_inverse=True)
+    marked = np.zeros(len(names), bool)
+    for a in x:
+        b = y[(root[y] != root[a]) & (y > a)] if own else y[root[y] != root[a]]
+        b = b[np.bitwise_count(bits[b] ^ bits[a]).sum(1, dtype=np.int16) <= radius]
+        if not len(b):
+            continue
+        mine = flat[ends[a] - sizes[a] : ends[a]]
+        marked[mine] = True
+        upto = np.concatenate(([0], np.cumsum(marked[flat[_ranges(ends[b] - sizes[b], sizes[b])]])))
+        marked[mine] = False
+        stops = np.cumsum(sizes[b])
+        common = upto[stops] - upto[stops - sizes[b]]
+        b = b[common >= similarity * (sizes[a] + sizes[b] - common)]
+        root = _merged(root, np.full(len(b), a), b) if len(b) else root
+    return root
+
+
+def _compare_sets(batches: Iterable[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile, cluster and part; the rows of a part wait for its last."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def result() -> Iterator[pa.RecordBatch]:
+        group, doc_id, bits, side, sizes, flat = (np.concatenate(c) for c in zip(*held))
+        starts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(1))))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        found = []
+        for s, e in zip(starts, np.append(starts[1:], len(group))):
+            root = _similar(bits[s:e], side[s:e], flat[ends[s] : ends[e]], sizes[s:e], radius, similarity)
+            tied = np.flatnonzero(root != np.arange(e - s))
+            found.append((doc_id[s:e][tied], doc_id[s:e][root[tied]]))
+        a, b = (np.concatenate(c) for c in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(c).to_numpy() for c in ("tile", "cluster", "part")], 1)
+        bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        flat, sizes = batch.column("shingles").flatten().to_numpy(), pc.list_value_length(batch.column("shingles")).to_numpy().astype(np.int64)
+        doc_id, side = batch.column("doc_id").to_numpy(), batch.column("side").to_numpy()
+        if held and (held[-1][0][-1] != group[0]).any():
+            yield from result()
+            held = []
+        cut = int(np.flatnonzero((group != group[-1]).any(1)).max(initial=-1)) + 1
+        at = int(sizes[:cut].sum())
+        if cut:
+            held.append((group[:cut], doc_id[:cut], bits[:cut], side[:cut], sizes[:cut], flat[:at]))
+            yield from result()
+            held = []
+        held.append((group[cut:], doc_id[cut:], bits[cut:], side[cut:], sizes[cut:], flat[at:]))
+    if held:
+        yield from result()
+    give_back()
+
+
+def similar_links(clusters: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) of doc_ids that join what pairs within a cluster's part join whose sets of shingles have the similarity (Jaccard).
+
+    clusters is (tile, cluster, part, side, node), texts (node, doc_id, bits, text). Sides 0 and 1 of a part are compared with each
+    other, side 2 with itself; only pairs within the radius are.
+    """
+    shaped = texts.mapInArrow(partial(_shingle_sets, words=words), "node long, doc_id long, bits array<long>, shingles array<long>")
+    group = ["tile", "cluster", "part"]
+    rows = clusters.join(stored(shaped, "copy-shingles"), "node").repartition(*group).sortWithinPartitions(*group)
+    return rows.mapInArrow(partial(_compare_sets, radius=radius, similarity=similarity), "a long, b long")
 
 
 def _tile_pairs(rows: DataFrame, group: list[str], cell: str, reach: int, most: int, one_group: bool = False) -> DataFrame:
-    """(tile, side, node, bits): rows (node, bits, group columns, cell) dealt to tiles of about most rows.
+    """(tile, side, node, bits, cell): rows (node, bits, group columns, cell) dealt to tiles of about most rows.
 
     A group of up to most rows is one tile. Of a larger one, each cell is dealt to tiles by hash, and tiles
     are paired if their cells differ by reach at most. one_group tells that the group columns have one value.
@@ -290,13 +365,13 @@ def _tile_pairs(rows: DataFrame, group: list[str], cell: str, reach: int, most:
     def named(*parts: Column) -> Column:
         return F.xxhash64(*group, *parts)
 
-    whole = joined.filter(F.col("rows") <= most).select(named().alias("tile"), F.lit(2).alias("side"), "node", "bits")
+    whole = joined.filter(F.col("rows") <= most).select(named().alias("tile"), F.lit(2).alias("side"), "node", "bits", cell)
     own = F.pmod(F.xxhash64("node"), F.try_element_at("tiles", F.col(cell))).cast("int")
     large = joined.filter(F.col("rows") > most).select("*", own.alias("own"))
     others = large.select("*", F.explode(F.filter(F.map_entries("tiles"), lambda e: F.abs(e["key"] - F.col(cell)) <= reach)).alias("e"))
     others = others.select("*", F.explode(F.sequence(F.lit(0), F.col("e.value") - 1)).alias("other"))
     me, it = F.struct(F.col(cell).alias("cell"), "own"), F.struct(F.col("e.key").alias("cell"), F.col("other").alias("own"))
-    parted = others.select(named(F.least(me, it), F.greatest(me, it)).alias("tile"), F.when(me == it, 2).when(me < it, 0).otherwise(1).alias("side"), "node", "bits")
+    parted = others.select(named(F.least(me, it), F.greatest(me, it)).alias("tile"), F.when(me == it, 2).when(me < it, 0).otherwise(1).alias("side"), "node", "bits", cell)
     return whole.unionByName(parted)
 
 
@@ -310,7 +385,8 @@ def fingerprint_roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) of the fingerprints (fp, each once) that have a link."""
     ways = F.array(*(F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(distinct.count(), radius))))
     keyed = distinct.select(F.col("fp").alias("node"), F.array("fp").alias("bits"), F.bit_count("fp").cast("int").alias("ones"), F.explode(ways).alias("w"))
-    return linked(_tile_pairs(keyed.select("node", "bits", "ones", "w.way", "w.key"), ["way", "key"], "ones", radius, TILE), radius)
+    tiles = _tile_pairs(keyed.select("node", "bits", "ones", "w.way", "w.key"), ["way", "key"], "ones", radius, TILE)
+    return linked(tiles.drop("ones"), radius)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -357,15 +433,14 @@ def one_of_each_group(docs: DataFrame, words: int = COPY_WORDS, similarity: floa
     nodes = prints.groupBy("bits", "size").agg(F.min(F.struct("doc_id", "row")).alias("first")).withColumn("node", F.xxhash64("bits", "size"))
     nodes = stored(nodes.select("bits", "size", "node", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "copy-nodes")
     tiles = _tile_pairs(nodes.select("node", "bits", "size", F.lit(0).alias("all")), ["all"], "size", 1, COPY_TILE, one_group=True)
-    bounds = {"radius": copy_radius(similarity, deviations=COPY_DEVIATIONS), "sure": copy_radius(similarity, deviations=-COPY_SURE)}
-    pairs = stored(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_compare_copies, **bounds), "a long, b long"), "copy-pairs")
-    ends = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "row")
-    texts = known.withColumn("row", F.xxhash64("text")).join(ends, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "text")
+    radius = copy_radius(similarity, deviations=COPY_DEVIATIONS)
+    compare = partial(_compare_copies, radius=radius, ratio=1 / similarity)
+    clusters = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "tile long, cluster long, part long, side int, node long")
+    clusters = stored(clusters, "copy-clusters")
+    ends = nodes.join(clusters.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "row", "bits")
+    texts = known.withColumn("row", F.xxhash64("text")).join(ends, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "doc_id", "bits", "text")
     # Of two equal texts under one doc_id the node is the same; two texts of one doc_id are one node of the components.
-    named = similar_pairs(pairs, texts, words, similarity)
-    for end in ("a", "b"):
-        named = named.join(ends.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_doc")), end)
-    roots = components(named.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")))
+    roots = components(similar_links(clusters, texts, words, similarity, radius))
     linked_ = roots.filter("node != root").select(F.col("node").alias("doc_id"))
     same = prints.join(nodes.select("bits", "size", F.col("doc_id").alias("first")), ["bits", "size"]).filter("doc_id != first").select("doc_id")
     gone = linked_.unionByName(same).distinct().select(F.col("doc_id").alias("__gone"))

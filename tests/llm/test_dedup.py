@@ -227,6 +227,32 @@ def test_copies_are_told_by_their_shingles(spark, monkeypatch):
         assert stay == {i for i, _ in rows} - {2 * i + 1 for i, j in enumerate(near) if j >= 0.8}
 
 
+def test_rows_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """A group whose members are all about as similar as the bound: no table has a row per pair, and shingles decide every link."""
+    from tests_llm_helpers import passages
+
+    rnd, base = np.random.default_rng(31), passages(30, 1, 200)[0].split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rnd.choice(len(words), 2 if i < 100 else 4, replace=False):
+            words[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(words)))
+    pairs = [(i, j) for i, x in rows for j, y in rows[:i] if shingle_similarity(x, y) >= 0.8]
+    want = union(pairs, range(150))
+    made = {}
+    store = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: made.setdefault(name, store(df, name)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile, shingles in ((simhash.COPY_TILE, simhash.SET_SHINGLES), (simhash.COPY_TILE, 5000), (40, 1)):
+        monkeypatch.setattr(simhash, "COPY_TILE", tile)
+        monkeypatch.setattr(simhash, "SET_SHINGLES", shingles)
+        made.clear()
+        assert {r.doc_id for r in simhash.one_of_each_group(df).collect()} == set(want.values())
+        if shingles == 1 << 21:
+            assert max(d.count() for d in made.values()) <= 150 < len(pairs)
+
+
 def repeated_bytes(texts):
     seen = defaultdict(int)
     for b in texts:
